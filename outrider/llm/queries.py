@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outrider.llm import bpe, exact_dedup, packing, sharding, urls
+from outrider.llm import bpe, exact_dedup, packing, quality, sharding, urls
 from outrider.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,41 @@ def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 1024)
 
 
+def op5_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and whether it is kept."""
+    judged = quality.judge_lines(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), wins AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM wins WHERE times > 1) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words,
+         coalesce(list_sum(list_transform(list_filter(l, lambda x:
+           regexp_matches(x, '[.!?…。！？](?:[\x20\x09-\x0D"''»”’)\]]|$)')
+           AND NOT regexp_matches(x, '^[^|>»•·]*(?:[|»•·]|\x20>\x20)[^|>»•·]*(?:[|»•·]|\x20>\x20)')
+           AND NOT regexp_matches(x, '(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|we use cookies|accept (?:all )?cookies|click here|enable javascript|skip to (?:main )?content|sign up for our newsletter|back to top)\b')
+           AND len(regexp_extract_all(x, '(?:[#*$%&|<>]|!!+)[^\x20\x09-\x0D]*')) <= 0.3::DOUBLE * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
+         ), lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')))), 0)::BIGINT AS left_chars
+  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars - left_chars <= 0.5::DOUBLE * word_chars AS kept,
+       word_chars - left_chars AS lost_chars
+FROM m
+"""
+
+
 def arrivals_of(docs: DataFrame):
     """Which documents count as taken in before: by a hash of the id, about half of them."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -80,5 +115,5 @@ m AS (
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op3_pack_best_fit, op7_exact_dedup_mph, op8_bpe_numpy, op10_url_bloom)}
-ORACLE = {"op7_exact_dedup_mph": OP7_SQL, "op10_url_bloom": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op3_pack_best_fit, op5_line_first_quality, op7_exact_dedup_mph, op8_bpe_numpy, op10_url_bloom)}
+ORACLE = {"op5_line_first_quality": OP5_SQL, "op7_exact_dedup_mph": OP7_SQL, "op10_url_bloom": OP10_SQL}

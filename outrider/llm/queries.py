@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outrider.llm import bpe, exact_dedup, packing, quality, sharding, urls
+from outrider.llm import bpe, exact_dedup, packing, pii, quality, sharding, urls
 from outrider.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,6 +95,16 @@ def op8_bpe_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER, row, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of personal data and of the words that reveal it."""
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    told = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    base = told(F.filter("spans", lambda s: s["kind"] != pii.TERM))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op10_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the rules; a page that none fits is allowed."""
     listed = spark.createDataFrame(URL_RULES, "host string, path string, action string")
@@ -115,5 +125,5 @@ m AS (
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op3_pack_best_fit, op5_line_first_quality, op7_exact_dedup_mph, op8_bpe_numpy, op10_url_bloom)}
+QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op3_pack_best_fit, op5_line_first_quality, op7_exact_dedup_mph, op8_bpe_numpy, op9_pii_disclosure, op10_url_bloom)}
 ORACLE = {"op5_line_first_quality": OP5_SQL, "op7_exact_dedup_mph": OP7_SQL, "op10_url_bloom": OP10_SQL}

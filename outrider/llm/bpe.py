@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -217,16 +217,16 @@ def read_spec(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, row, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, row, schema: str, id_col: str = "doc_id", text_col: str = "text", load: Callable[[bytes], ByteBpe] = loaded) -> DataFrame:
     """``row(bpe, doc_id, ids, text)`` gives a document's rows, as tuples of ``schema``.
 
-    The tokenizer file is read on the driver and sent to the executors, which need no copy of it.
+    ``load`` makes the encoder from the tokenizer file's content, once for each worker. The tokenizer file is read on the driver and sent to the executors, which need no copy of it.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))  # as long as the file
     arrow = _arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec.value)
+        bpe = load(spec.value)
         for batch in batches:
             for part, texts in slices(batch, text_col):
                 ids, n = bpe.encode(texts)

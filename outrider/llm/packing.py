@@ -14,14 +14,16 @@ in the input; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from outrider.llm.bpe import encode_documents
+from outrider.llm.bpe import PATTERN, ByteBpe, encode_documents
 from outrider.llm.common import written
 
 END = 0
@@ -95,6 +97,27 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> list[tuple]:
     return plan
 
 
+class Encoder:
+    """The tokenizer's encoder in compiled code; its ids must be in the order of its merges."""
+
+    def __init__(self, content: bytes):
+        spec = ByteBpe(content)
+        if (np.diff(spec.results) <= 0).any():
+            raise ValueError("this vocabulary's ids are not in the order of its merges")
+        special = set(spec.special.values())
+        ranks = {t: i for i, t in enumerate(spec.token_bytes) if i not in special}
+        self.inner = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=spec.special)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.inner.encode_to_numpy(t, allowed_special="all") for t in texts]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(content: bytes) -> Encoder:
+    return Encoder(content)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, payload: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents' ids and an end token, cut into pieces of at most a window.
 
@@ -109,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, payload: s
         return [(doc, k, len(p), x, len(every)) for k, p, x in zip(cuts, parts, held, strict=True)]
 
     kind = {"ids": "ids array<int>", "crc32": "ids_crc32 bigint"}[payload]
-    return encode_documents(docs, tokenizer, row, f"{id_col} bigint, start bigint, length bigint, {kind}, doc_tokens bigint", id_col, text_col)
+    return encode_documents(docs, tokenizer, row, f"{id_col} bigint, start bigint, length bigint, {kind}, doc_tokens bigint", id_col, text_col, encoder)
 
 
 def pack(pieces: DataFrame, window: int = 1024, subs: int | None = None) -> DataFrame:

@@ -22,6 +22,8 @@ def test_merge_rounds_equal_the_library():
         want = REAL.encode(text, add_special_tokens=False).ids
         assert ids[low:high].tolist() == want
         assert coder.decode(ids[low:high]) == REAL.decode(want, skip_special_tokens=False)
+    fast, m = packing.encoder(bpe.read_spec(PATH)).encode(texts)
+    assert (fast == ids).all() and (m == n).all()
 
 
 def test_forgetting_words_changes_nothing(monkeypatch):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outrider.llm import bpe, exact_dedup, packing, pii, quality, sharding, urls
+from outrider.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, sharding, urls
 from outrider.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,11 @@ def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 1024)
 
 
+def op4_jaccard_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id that near-duplicate links lead to."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures and whether it is kept."""
     judged = quality.judge_lines(table(spark, sf_dir, "documents"))
@@ -125,5 +130,5 @@ m AS (
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op3_pack_best_fit, op5_line_first_quality, op7_exact_dedup_mph, op8_bpe_numpy, op9_pii_disclosure, op10_url_bloom)}
+QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op3_pack_best_fit, op4_jaccard_vertical, op5_line_first_quality, op7_exact_dedup_mph, op8_bpe_numpy, op9_pii_disclosure, op10_url_bloom)}
 ORACLE = {"op5_line_first_quality": OP5_SQL, "op7_exact_dedup_mph": OP7_SQL, "op10_url_bloom": OP10_SQL}

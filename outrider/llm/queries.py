@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outrider.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, sharding, urls
+from outrider.llm import bpe, exact_dedup, lm, ngram_join, packing, pii, quality, sharding, urls
 from outrider.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,12 @@ def op1_shard_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("home").alias("home_shard"))
 
 
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the hidden Markov model and by single words."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' tokens in windows of 1024."""
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), TOKENIZER, 1024, payload="crc32")
@@ -130,5 +136,5 @@ m AS (
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op3_pack_best_fit, op4_jaccard_vertical, op5_line_first_quality, op7_exact_dedup_mph, op8_bpe_numpy, op9_pii_disclosure, op10_url_bloom)}
+QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op2_hmm_scores, op3_pack_best_fit, op4_jaccard_vertical, op5_line_first_quality, op7_exact_dedup_mph, op8_bpe_numpy, op9_pii_disclosure, op10_url_bloom)}
 ORACLE = {"op5_line_first_quality": OP5_SQL, "op7_exact_dedup_mph": OP7_SQL, "op10_url_bloom": OP10_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -47,7 +48,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts lineage: a lost executor costs no recomputation of what came before, and values
-    such as row tags stay what they were. The files go when the session's JVM ends.
+    such as row tags stay what they were. The files go when the session's JVM ends; the shuffle files
+    of what came before go as soon as the driver collects its garbage, which this asks for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -55,6 +57,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    gc.collect()
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,6 +22,7 @@ whole; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outrider.llm.bpe import slices
-from outrider.llm.common import dropped, written
+from outrider.llm.common import dropped, one_of_each, written
 from outrider.llm.components import components
 from outrider.llm.shingles import shingle_sets, signature
 
 #: Cells of the sketch that tells which n-grams stand out; it only guides the order, whatever its counts.
 CELL_BITS = 22
 FRAGMENTS = 4
+#: Bits of the map of shared prefix n-grams, 16 MB.
+MAP_BITS = 27
 #: Rounds with one hub for each bucket, at most, and the pairs for each row in buckets below which all are compared.
 HUB_ROUNDS, FEW = 6, 16
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str], list[np.ndarray]]]:
     for batch in batches:
         for part, texts in slices(batch, "text"):
-            yield part.column(0).to_pylist(), shingle_sets([t.encode() for t in texts], size)
+            yield part.column(0).to_pylist(), texts, shingle_sets([t.encode() for t in texts], size)
 
 
 def _cells(values: np.ndarray) -> np.ndarray:
@@ -56,7 +59,7 @@ def standing_out(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << CELL_BITS, np.int32)
-        for _, sets in _sets(batches, size):
+        for _, _, sets in _sets(batches, size):
             cells, n = np.unique(_cells(np.concatenate(sets)), return_counts=True) if sets else (np.zeros(0, np.int64), 0)
             table[cells] += n
         often = np.flatnonzero(table >= max(8, 4 * table.mean()))
@@ -87,14 +90,14 @@ def prefix_length(n: int, percent: int) -> int:
 def _prefixes(docs: DataFrame, often, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = often.value
-        for ids, sets in _sets(batches, size):
+        for ids, texts, sets in _sets(batches, size):
             some = [ranked(s, order)[0][: prefix_length(len(s), percent)].view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array(some, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "sig", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array(some, pa.list_(pa.int64()))],
+                names=["doc_id", "text_md5", "n", "sig", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sig binary, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_md5 binary, n bigint, sig binary, prefix array<bigint>")
 
 
 def _segments(docs: DataFrame, needed: DataFrame, often, size: int) -> DataFrame:
@@ -102,7 +105,7 @@ def _segments(docs: DataFrame, needed: DataFrame, often, size: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = often.value
-        for _, sets in _sets(batches, size):
+        for _, _, sets in _sets(batches, size):
             sig, fragment, part = [], [], []
             for s in sets:
                 if not len(s):
@@ -138,6 +141,32 @@ def _common(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return pairs.join(sums, ["a", "b"], "left").fillna(0, ["common"])
 
 
+def _maybe_shared(reps: DataFrame, shared: DataFrame) -> DataFrame:
+    """(rep, n, i, s) of the prefix n-grams that may be in ``shared``: a bitmap of 2**MAP_BITS bits drops most others before the shuffle."""
+    bits = shared.select(F.explode(F.array(F.shiftrightunsigned("s", 64 - MAP_BITS), F.col("s").bitwiseAND((1 << MAP_BITS) - 1))).alias("bit"))
+    words = bits.groupBy(F.shiftrightunsigned("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    table = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    held = reps.sparkSession.sparkContext.broadcast(table)  # 2**MAP_BITS bits, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, low = np.uint64(1), np.uint64(63)
+        table = held.value
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            count = np.diff(lists.offsets.to_numpy())
+            first, second = flat >> np.uint64(64 - MAP_BITS), flat & np.uint64((1 << MAP_BITS) - 1)
+            seen = ((table[(first >> np.uint64(6)).astype(np.int64)] >> (first & low)) & (table[(second >> np.uint64(6)).astype(np.int64)] >> (second & low)) & one) == 1
+            owner = np.repeat(np.arange(len(count)), count)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.flatnonzero(seen)
+            columns = [batch.column(k).take(pa.array(owner[at])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place[at]), pa.array(flat[at].view(np.int64))], names=["rep", "n", "i", "s"])
+
+    return reps.select("rep", "n", "prefix").mapInArrow(run, "rep bigint, n bigint, i bigint, s bigint")
+
+
 class JaccardJoin:
     """The state of one join: the sets, what is known of their links, and the buckets still to do."""
 
@@ -145,9 +174,11 @@ class JaccardJoin:
         self.size, self.percent = size, percent
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
         self.often = docs.sparkSession.sparkContext.broadcast(standing_out(self.docs.select("doc_id", "text"), size))  # 2**CELL_BITS pairs at most
-        self.rows = written(_prefixes(self.docs, self.often, size, percent), "prefixes")
-        found = self.rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        every = written(_prefixes(self.docs, self.often, size, percent), "prefixes")
+        found = every.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         self.reps = written(found.withColumn("rep", F.monotonically_increasing_id()), "sets")
+        self.rows = written(every.drop("prefix"), "documents")
+        dropped(every)
         self.segments: DataFrame | None = None
         self.links: DataFrame | None = None
         self.component: DataFrame | None = None
@@ -181,9 +212,10 @@ class JaccardJoin:
         return rows.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     def run(self) -> None:
-        rows = self.reps.select("rep", "n", F.posexplode("prefix").alias("i", "s"))
-        hubs = rows.groupBy("s").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top")).filter("hub <> _top").select("s", "hub")
-        left = written(rows.join(hubs, "s").withColumn("distance", F.lit(None).cast("double")), "buckets")
+        shared = written(self.reps.select(F.explode("prefix").alias("s")).groupBy("s").count().filter("count > 1").select("s"), "shared")
+        rows = written(_maybe_shared(self.reps, shared).join(shared, "s"), "buckets")
+        dropped(shared)
+        left = rows.join(rows.groupBy("s").agg(F.min("rep").alias("hub")), "s").withColumn("distance", F.lit(None).cast("double"))
         for k in range(HUB_ROUNDS + 1):
             hub = left.filter("rep = hub").select("s", F.col("n").alias("m"), F.col("i").alias("j"))
             near = left.filter("rep <> hub").join(hub, "s").filter(self._fits("n", "i", "m", "j"))
@@ -207,9 +239,7 @@ class JaccardJoin:
         known = counted.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "distance")
         rest = self._with_component(rest.join(known, ["hub", "rep"], "left"))
         mixed = rest.groupBy("s").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("s")
-        after = written(rest.join(mixed, "s", "left_semi"), "buckets")
-        dropped(left)
-        return after
+        return written(rest.join(mixed, "s", "left_semi"), "buckets")
 
     def _next_hub(self, left: DataFrame) -> DataFrame:
         """Another hub for each bucket, with its component."""
@@ -225,13 +255,13 @@ class JaccardJoin:
         return met.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
 
     def documents(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, sig) of every document."""
+        """(doc_id, text_md5, n_shingles, component_id, component) of every document; no component without words."""
         sets = self._with_component(self.reps.select("rep", "sig", "low"))
         names = sets.groupBy("component").agg(F.min("low").alias("component_id"))
-        named = sets.join(names, "component").select("sig", "component_id", F.col("rep"), "component")
-        some = self.rows.filter("n > 0").select("doc_id", "n", "sig").join(named, "sig")
-        none = self.rows.filter("n = 0").select("doc_id", "n", "sig", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("rep"), F.lit(None).cast("bigint").alias("component"))
-        return some.select("doc_id", "n", "sig", "component_id", "rep", "component").unionByName(none).withColumnRenamed("n", "n_shingles")
+        named = sets.join(names, "component").select("sig", "component_id", "component")
+        some = self.rows.filter("n > 0").join(named, "sig").select("doc_id", "text_md5", "n", "component_id", "component")
+        none = self.rows.filter("n = 0").select("doc_id", "text_md5", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("component"))
+        return some.unionByName(none).withColumnRenamed("n", "n_shingles")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -239,3 +269,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     join = JaccardJoin(docs, id_col, text_col, size, percent)
     join.run()
     return join.documents().select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Of each component the row with the smallest id (then text hash; any of rows equal in both), and all rows without words."""
+    join = JaccardJoin(docs, id_col, text_col, size, percent)
+    join.run()
+    found = written(join.documents().filter("component is not null"), "components")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_md5")).alias("b")).select(F.col("b.doc_id").alias("_key_id"), F.col("b.text_md5").alias("_key_md5"))
+    times = found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("_key_rows"))
+    chosen = best.join(times, best["_key_id"].eqNullSafe(times["doc_id"]) & (best["_key_md5"] == times["text_md5"])).select("_key_id", "_key_md5", "_key_rows")
+    has_word = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.filter(has_word).withColumn("_md5", F.unhex(F.md5(F.col(text_col).cast("binary"))))
+    return one_of_each(keyed, chosen, [("_md5", "_key_md5"), (id_col, "_key_id")], docs.columns).unionByName(docs.filter(~has_word))

@@ -98,3 +98,12 @@ def test_odd_documents(spark, docs, empty):
     got = Counter(tuple(r) for r in ngram_join.jaccard_components(docs).collect())
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
     assert ngram_join.jaccard_components(empty).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    low = {c for _, n, c in brute(rows) if n and c is not None}
+    names = Counter(r.doc_id for r in kept.collect())
+    blank = Counter(i for i, t in rows if not (t or "").strip())
+    assert {i for i in names - blank if i is not None} == low
+    assert max((names - blank).values()) == 1 and (names - blank)[None] == 1
+    assert ngram_join.keep_one(empty).count() == 0

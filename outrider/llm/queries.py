@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outrider.llm import bpe, exact_dedup, lm, ngram_join, packing, pii, quality, sharding, urls
+from outrider.llm import bpe, exact_dedup, licenses, lm, ngram_join, packing, pii, quality, sharding, urls
 from outrider.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,7 +76,15 @@ FROM m
 """
 
 
-def arrivals_of(docs: DataFrame):
+def op6_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of a tree by source and language: its licence, or the one it inherits."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.lit("corpus"), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    templates = spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")
+    return licenses.scan(docs, templates, path)
+
+
+def taken_in_before(docs: DataFrame):
     """Which documents count as taken in before: by a hash of the id, about half of them."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
 
@@ -84,7 +92,7 @@ def arrivals_of(docs: DataFrame):
 def op7_exact_dedup_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of all equal texts."""
     docs = table(spark, sf_dir, "documents")
-    found = exact_dedup.exact_dedup(docs, arrivals_of(docs))
+    found = exact_dedup.exact_dedup(docs, taken_in_before(docs))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -136,5 +144,5 @@ m AS (
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op2_hmm_scores, op3_pack_best_fit, op4_jaccard_vertical, op5_line_first_quality, op7_exact_dedup_mph, op8_bpe_numpy, op9_pii_disclosure, op10_url_bloom)}
+QUERIES = {f.__name__: f for f in (op1_shard_bounded_ring, op2_hmm_scores, op3_pack_best_fit, op4_jaccard_vertical, op5_line_first_quality, op6_license_tfidf, op7_exact_dedup_mph, op8_bpe_numpy, op9_pii_disclosure, op10_url_bloom)}
 ORACLE = {"op5_line_first_quality": OP5_SQL, "op7_exact_dedup_mph": OP7_SQL, "op10_url_bloom": OP10_SQL}

@@ -10,8 +10,8 @@ one row for each symbol, which is a number that the model fixes. Texts longer th
 windows, of which all but the first start from the states' overall shares. Scoring isn't cut: the scaled
 forward recursion over the whole text gives its exact likelihood.
 
-Word counts cover the corpus. Of the words, the HEAD most frequent go to all executors with their counts;
-the rest of a text's words meet their counts in a join.
+Word counts cover the corpus. Of the words, the most frequent, HEAD at most, go to all executors with their
+counts; the rest of a text's words meet their counts in a join.
 
 Cases: a null text is empty, one end; a null id is in training; repeated rows count and are scored each;
 texts of any length are scored in whole; without training texts every token is unknown; other columns are
@@ -106,7 +106,11 @@ def summary(counts: DataFrame) -> Counts:
     words = counts.filter("length(word) > 0")
     texts = counts.filter("length(word) = 0").first()
     texts = texts.c if texts else 0
-    head = words.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    bin_of = F.floor(F.log2(F.col("c")) * 64).cast("int")
+    bins = sorted(((r[0], r[1]) for r in words.groupBy(bin_of).count().collect()), reverse=True)  # 64 for each doubling
+    held = np.cumsum([n for _, n in bins])
+    least = min([b for (b, _), n in zip(bins, held.tolist(), strict=True) if n <= HEAD], default=1 << 30)
+    head = sorted(words.filter(bin_of >= least).collect(), key=lambda r: (-r.c, bytes(r.word)))  # HEAD at most
     names, c = [bytes(r.word) for r in head], np.array([r.c for r in head], np.int64)
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, types = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)

@@ -88,8 +88,8 @@ def flag(condition: Column) -> Column:
 
 
 def probability(c: Column, eps: float = 1e-15) -> Column:
-    """Within [eps, 1 - eps], so that logarithms are finite."""
-    return F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), c))
+    """Within [eps, 1 - eps], so that logarithms are finite; NULL stays NULL."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), c)))
 
 
 def logit(p: Column, eps: float = 1e-15) -> Column:

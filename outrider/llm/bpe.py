@@ -24,11 +24,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from outrider.llm.common import small_batches
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer words are merged one pair at a time, with a heap, as rounds over them would be many.
 ROUND_BYTES = 2048
 #: Words that are remembered from batch to batch, at most, and the bytes of text in a batch.
-REMEMBERED, SLICE = 300_000, 4_000_000
+REMEMBERED, SLICE = 300_000, 1_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -222,6 +224,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, row, schema: str, id_col:
 
     ``load`` makes the encoder from the tokenizer file's content, once for each worker. The tokenizer file is read on the driver and sent to the executors, which need no copy of it.
     """
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))  # as long as the file
     arrow = _arrow(docs.sparkSession, schema)
 

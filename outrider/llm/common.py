@@ -62,6 +62,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once, at most, as texts can be long.
+ROWS_AT_ONCE = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ROWS_AT_ONCE, which bounds what Python and the JVM hold of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ROWS_AT_ONCE:
+        spark.conf.set(name, ROWS_AT_ONCE)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written`` once nothing reads it any more."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outrider.llm.bpe import slices
-from outrider.llm.common import written
+from outrider.llm.common import small_batches, written
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words with a symbol of their own, classes for the others, and words whose counts go to all executors.
@@ -316,6 +316,7 @@ def _forwards(texts: DataFrame, model) -> DataFrame:
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each text; learns from those not held out."""
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     marked = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = written(word_counts(marked.filter("not held_out"), text_col), "words")
     known = summary(counts)

@@ -10,7 +10,8 @@ Links within a group of near copies would be as many as its pairs, so the join l
 documents. Equal sets are one to begin with. In each bucket of a prefix n-gram one set, the hub, is
 compared with all others; the links found give components. Then only sets of different components are
 left to compare, in buckets that still have several, and of these the pairs that lengths, positions or
-the distances to the hub (Jaccard distance is a metric) rule out need no counting either. While such
+the distances to the hub (Jaccard distance is a metric) rule out need no counting either, nor do pairs
+whose parity maps, a bit for each n-gram, differ in more bits than similar sets do in n-grams. While such
 buckets are large, another hub is taken; after that all pairs that are left are compared. Nothing is
 left out: two documents end in one component exactly if links lead from one to the other.
 
@@ -31,17 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outrider.llm.bpe import slices
-from outrider.llm.common import dropped, one_of_each, written
+from outrider.llm.common import dropped, one_of_each, small_batches, written
 from outrider.llm.components import components
 from outrider.llm.shingles import shingle_sets, signature
 
 #: Cells of the sketch that tells which n-grams stand out; it only guides the order, whatever its counts.
 CELL_BITS = 22
 FRAGMENTS = 4
-#: Bits of the map of shared prefix n-grams, 16 MB.
-MAP_BITS = 27
-#: Rounds with one hub for each bucket, at most, and the pairs for each row in buckets below which all are compared.
-HUB_ROUNDS, FEW = 6, 16
+#: Bits of the map of shared prefix n-grams, 4 MB.
+MAP_BITS = 25
+#: 64-bit words of the parity maps that rows carry into the last join.
+SMALL_MAP = 16
+#: Rounds with one hub for each bucket, at most, and the pairs for each row in buckets up to which all that are left are looked at.
+HUB_ROUNDS, FEW = 3, 512
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str], list[np.ndarray]]]:
@@ -87,17 +90,41 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity(values: np.ndarray) -> bytes:
+    """A bit for each cell that an odd number of a set's n-grams falls in; as many cells as n-grams, to the next power of two.
+
+    Two sets differ in at least as many n-grams as their maps differ in bits.
+    """
+    bits = 1 << max(6, (len(values) - 1).bit_length())
+    cell = (values & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(values: np.ndarray) -> np.ndarray:
+    """The parity map of a fixed size, as SMALL_MAP 64-bit words, for comparison inside the join."""
+    cell = (values & np.uint64(64 * SMALL_MAP - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=64 * SMALL_MAP) & 1, bitorder="little").view("<i8")
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many bits two maps differ, the larger one folded to the smaller's size."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _prefixes(docs: DataFrame, often, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = often.value
         for ids, texts, sets in _sets(batches, size):
             some = [ranked(s, order)[0][: prefix_length(len(s), percent)].view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array(some, pa.list_(pa.int64()))],
-                names=["doc_id", "text_md5", "n", "sig", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array(some, pa.list_(pa.int64())), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.array([folded(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "text_md5", "n", "sig", "prefix", "parity", "map"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, text_md5 binary, n bigint, sig binary, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_md5 binary, n bigint, sig binary, prefix array<bigint>, parity binary, map array<bigint>")
 
 
 def _segments(docs: DataFrame, needed: DataFrame, often, size: int) -> DataFrame:
@@ -172,12 +199,13 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80):
         self.size, self.percent = size, percent
+        small_batches(docs.sparkSession)
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
         self.often = docs.sparkSession.sparkContext.broadcast(standing_out(self.docs.select("doc_id", "text"), size))  # 2**CELL_BITS pairs at most
         every = written(_prefixes(self.docs, self.often, size, percent), "prefixes")
-        found = every.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        found = every.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.first("map").alias("map"))
         self.reps = written(found.withColumn("rep", F.monotonically_increasing_id()), "sets")
-        self.rows = written(every.drop("prefix"), "documents")
+        self.rows = written(every.drop("prefix", "parity", "map"), "documents")
         dropped(every)
         self.segments: DataFrame | None = None
         self.links: DataFrame | None = None
@@ -189,18 +217,35 @@ class JaccardJoin:
         least = F.col(n) + F.col(m)
         return ((F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (100 + p)) >= least * p) & (100 * F.least(F.col(n), F.col(m)) >= p * F.greatest(F.col(n), F.col(m)))
 
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with ``least``, below which their distance can't be, by the parity maps, and whether they can be linked at all."""
+        p = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d = np.array([least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+                n = batch.column(1).to_numpy() + batch.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(2.0 * d / (n + d)), pa.array(d * (100 + p) <= n * (100 - p))], names=["a", "na", "b", "nb", "least", "possible"])
+
+        maps = self.reps.select("rep", "parity")
+        held = pairs.join(maps.select(F.col("rep").alias("a"), F.col("parity").alias("x")), "a").join(maps.select(F.col("rep").alias("b"), F.col("parity").alias("y")), "b")
+        return held.select("a", "na", "b", "nb", "x", "y").mapInArrow(run, "a bigint, na bigint, b bigint, nb bigint, least double, possible boolean")
+
     def _counted(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, na, b, nb) with ``distance`` and ``linked``."""
-        pairs = written(pairs, "pairs")
-        needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        """Pairs (a, na, b, nb) with ``linked``, the ``distance`` of those that could have been, and ``least``, which it isn't below."""
+        tried = written(self._apart(pairs), "pairs")
+        possible = tried.filter("possible").drop("least", "possible")
+        needed = possible.select(F.col("a").alias("rep")).union(possible.select("b")).distinct()
         if self.segments is not None:
             needed = needed.join(self.segments.select("rep"), "rep", "left_anti")
         needed = written(self.reps.select("rep", "low", "sig").join(needed, "rep", "left_semi"), "needed")
         fresh = written(_segments(self.docs, needed, self.often, self.size), "segments")
         self.segments = fresh if self.segments is None else self.segments.unionByName(fresh)
         both = F.col("na") + F.col("nb") - F.col("common")
-        counted = _common(pairs, self.segments).select("a", "b", (1 - F.col("common") / both).alias("distance"), (100 * F.col("common") >= self.percent * both).alias("linked"))
-        return written(counted, "counted")
+        distance = 1 - F.col("common") / both
+        counted = _common(possible, self.segments).select("a", "b", distance.alias("distance"), distance.alias("least"), (100 * F.col("common") >= self.percent * both).alias("linked"))
+        far = tried.filter("not possible").select("a", "b", F.lit(None).cast("double").alias("distance"), "least", F.lit(False).alias("linked"))
+        return written(counted.unionByName(far), "counted")
 
     def _linked(self, counted: DataFrame) -> None:
         fresh = counted.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -215,7 +260,7 @@ class JaccardJoin:
         shared = written(self.reps.select(F.explode("prefix").alias("s")).groupBy("s").count().filter("count > 1").select("s"), "shared")
         rows = written(_maybe_shared(self.reps, shared).join(shared, "s"), "buckets")
         dropped(shared)
-        left = rows.join(rows.groupBy("s").agg(F.min("rep").alias("hub")), "s").withColumn("distance", F.lit(None).cast("double"))
+        left = rows.join(rows.groupBy("s").agg(F.min("rep").alias("hub")), "s")
         for k in range(HUB_ROUNDS + 1):
             hub = left.filter("rep = hub").select("s", F.col("n").alias("m"), F.col("i").alias("j"))
             near = left.filter("rep <> hub").join(hub, "s").filter(self._fits("n", "i", "m", "j"))
@@ -224,22 +269,25 @@ class JaccardJoin:
             pairs = near.select(F.col("hub").alias("a"), F.col("m").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
             counted = self._counted(pairs)
             self._linked(counted)
-            left = self._still_mixed(left, counted)
-            rows_left, pairs_left = left.groupBy("s").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()
+            left, major = self._still_mixed(left, counted)
+            sizes = left.groupBy("s").agg(F.count("*").alias("c")).join(major, "s")
+            rows_left, pairs_left = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") - F.col("most")) * F.col("c")), F.lit(0))).first()
             if not rows_left:
                 return
             if pairs_left <= FEW * rows_left or k == HUB_ROUNDS:
-                self._linked(self._counted(self._rest(left)))
+                self._linked(self._counted(self._rest(left, major)))
                 return
             left = self._next_hub(left)
 
-    def _still_mixed(self, left: DataFrame, counted: DataFrame) -> DataFrame:
-        """The rows without their hubs, of buckets that have several components, and their distances to the hub."""
+    def _still_mixed(self, left: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows without their hubs, of buckets that have several components, with their distances to the hub; and (s, major, most), each bucket's largest component."""
         rest = left.filter("rep <> hub").select("s", "rep", "n", "i", "hub")
-        known = counted.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "distance")
+        known = counted.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "distance", "least")
         rest = self._with_component(rest.join(known, ["hub", "rep"], "left"))
-        mixed = rest.groupBy("s").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("s")
-        return written(rest.join(mixed, "s", "left_semi"), "buckets")
+        parts = rest.groupBy("s", "component").agg(F.count("*").alias("c"))
+        mixed = parts.groupBy("s").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("top")).filter("k > 1")
+        major = written(mixed.select("s", F.col("top.component").alias("major"), F.col("top.c").alias("most")), "mixed")
+        return written(rest.join(major.select("s"), "s", "left_semi"), "buckets"), major
 
     def _next_hub(self, left: DataFrame) -> DataFrame:
         """Another hub for each bucket, with its component."""
@@ -247,12 +295,20 @@ class JaccardJoin:
         named = self._with_component(hubs.select("s", F.col("hub").alias("rep"))).select("s", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
         return left.drop("hub").join(named, "s")
 
-    def _rest(self, left: DataFrame) -> DataFrame:
-        """All pairs of different components that nothing rules out."""
-        other = left.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("component").alias("_other"), F.col("distance").alias("_far"))
-        apart = F.coalesce(F.abs(F.col("distance") - F.col("_far")) <= 1 - self.percent / 100 + 1e-9, F.lit(True))
-        met = left.join(other, (left["s"] == other["s"]) & (left["rep"] < other["b"]) & (left["component"] != F.col("_other")) & self._fits("n", "i", "nb", "j") & apart)
-        return met.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
+    def _rest(self, left: DataFrame, major: DataFrame) -> DataFrame:
+        """All pairs of different components that nothing rules out; one of each pair is outside its bucket's largest component."""
+        words = [f"w{k}" for k in range(SMALL_MAP)]
+        maps = self.reps.select("rep", *[F.get("map", F.lit(k)).alias(w) for k, w in enumerate(words)])
+        left = written(left.join(maps, "rep"), "mapped")
+        few = left.join(major, "s").filter("component <> major").drop("major", "most")
+        other = left.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("component").alias("_other"), F.col("distance").alias("_distance"), F.col("least").alias("_least"), *[F.col(w).alias(f"_{w}") for w in words])
+        differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in words), F.lit(0))
+        alike = differ * (100 + self.percent) <= (F.col("n") + F.col("nb")) * (100 - self.percent)
+        most = 1 - self.percent / 100 + 1e-9
+        apart = F.coalesce(F.col("least") - F.col("_distance") <= most, F.lit(True)) & F.coalesce(F.col("_least") - F.col("distance") <= most, F.lit(True))
+        met = few.join(other, (few["s"] == other["s"]) & (few["component"] != F.col("_other")) & self._fits("n", "i", "nb", "j") & apart & alike)
+        ends = met.select(F.struct("rep", "n").alias("x"), F.struct(F.col("b").alias("rep"), F.col("nb").alias("n")).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        return ends.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")).distinct()
 
     def documents(self) -> DataFrame:
         """(doc_id, text_md5, n_shingles, component_id, component) of every document; no component without words."""

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from outrider.llm import ngram_join, shingles
@@ -73,6 +74,16 @@ def test_sets():
             assert len(set(together[a].tolist()) & set(together[b].tolist())) == len(shingled(many[a]) & shingled(many[b]))
 
 
+def test_parity_maps_bound_the_difference():
+    random.seed(6)
+    for _ in range(300):
+        some = [random.getrandbits(64) for _ in range(random.choice([1, 5, 70, 900]))]
+        a, b = (set(random.sample(some, random.randint(1, len(some)))) | {random.getrandbits(64) for _ in range(random.choice([0, 3, 200]))} for _ in range(2))
+        x, y = (ngram_join.parity(np.sort(np.array(list(v), np.uint64))) for v in (a, b))
+        assert ngram_join.least_difference(x, y) <= len(a ^ b)
+        assert ngram_join.least_difference(x, x) == 0
+
+
 def test_components(spark):
     random.seed(8)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(180)] + [(400 + k, 401 + k) for k in range(60)] + [(5, 5)]

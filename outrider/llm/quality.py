@@ -78,23 +78,31 @@ def line_stays(line: Column) -> Column:
     return line.rlike(SENTENCE_MARK) & ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE) & (marked <= words * F.lit(MARKED))
 
 
+def verdict(text: Column) -> Column:
+    """All measures, ``clean_text``, ``lost_chars``, ``base_failed`` and ``kept`` of a text, as one struct that works each of them out once."""
+
+    def counted(w: Column) -> Column:
+        return F.struct(F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"), repeated_words(w).cast("bigint").alias("n_repeat_words"))
+
+    def cleaned(x: Column) -> Column:
+        stay = lambda y: let(F.array_join(y, "\n"), lambda t: F.struct(t.alias("text"), F.length(F.array_join(words_of(t), "")).cast("bigint").alias("chars")))
+        return let(F.filter(x, line_stays), lambda y: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"), stay(y).alias("clean")))
+
+    def judged(m: Column, c: Column) -> Column:
+        failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
+        lost = m["word_chars"] - c["clean"]["chars"]
+        symbols = (F.size(F.split(text, SYMBOLS, -1)) - 1).cast("bigint")
+        return F.struct(
+            m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), symbols.alias("n_symbols"), c["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
+            c["clean"]["text"].alias("clean_text"), lost.alias("lost_chars"), failed.alias("base_failed"), (~failed & (lost <= m["word_chars"] * F.lit(MOST_LOST))).alias("kept"),
+        )
+
+    return let(let(words_of(text), counted), lambda m: let(let(lines_of(text), cleaned), lambda c: judged(m, c)))
+
+
 def judge_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the measures, ``clean_text``, ``lost_chars`` and ``kept``."""
-    text = text_of(text_col)
-    bare = lambda x: F.length(F.array_join(words_of(x), ""))
-    measures = let(
-        words_of(text),
-        lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"), repeated_words(w).cast("bigint").alias("n_repeat_words")),
-    )
-    lines = let(
-        lines_of(text),
-        lambda x: let(F.filter(x, line_stays), lambda y: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"), F.array_join(y, "\n").alias("clean_text"))),
-    )
-    out = docs.withColumns({"_m": measures, "_l": lines, "n_symbols": (F.size(F.split(text, SYMBOLS, -1)) - 1).cast("bigint")})
-    out = out.select(*docs.columns, "_m.n_words", "_m.word_chars", "n_symbols", "_l.n_dup_lines", "_m.n_repeat_words", F.col("_l.clean_text").alias("clean_text"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = out.withColumn("lost_chars", F.col("word_chars") - bare(F.col("clean_text")))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_chars") <= F.col("word_chars") * F.lit(MOST_LOST)))
+    """``docs`` with the fields of ``verdict``. It is generated, so that no filter after it works it out again."""
+    return docs.select("*", F.explode(F.array(verdict(text_of(text_col)))).alias("_verdict")).select(*docs.columns, "_verdict.*")
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

@@ -42,9 +42,9 @@ FRAGMENTS = 4
 #: Bits of the map of shared prefix n-grams, 4 MB.
 MAP_BITS = 25
 #: 64-bit words of the parity maps that rows carry into the last join.
-SMALL_MAP = 16
+SMALL_MAP = 32
 #: Rounds with one hub for each bucket, at most, and the pairs for each row in buckets up to which all that are left are looked at.
-HUB_ROUNDS, FEW = 3, 512
+HUB_ROUNDS, FEW = 3, 8
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str], list[np.ndarray]]]:
@@ -277,7 +277,7 @@ class JaccardJoin:
             if pairs_left <= FEW * rows_left or k == HUB_ROUNDS:
                 self._linked(self._counted(self._rest(left, major)))
                 return
-            left = self._next_hub(left)
+            left = self._next_hub(left, major)
 
     def _still_mixed(self, left: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows without their hubs, of buckets that have several components, with their distances to the hub; and (s, major, most), each bucket's largest component."""
@@ -289,11 +289,11 @@ class JaccardJoin:
         major = written(mixed.select("s", F.col("top.component").alias("major"), F.col("top.c").alias("most")), "mixed")
         return written(rest.join(major.select("s"), "s", "left_semi"), "buckets"), major
 
-    def _next_hub(self, left: DataFrame) -> DataFrame:
-        """Another hub for each bucket, with its component."""
-        hubs = left.groupBy("s").agg(F.max("rep").alias("hub"))
-        named = self._with_component(hubs.select("s", F.col("hub").alias("rep"))).select("s", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-        return left.drop("hub").join(named, "s")
+    def _next_hub(self, left: DataFrame, major: DataFrame) -> DataFrame:
+        """Another hub for each bucket: of its largest component the set nearest to the hub before, and so to most others."""
+        largest = left.join(major.select("s", "major"), "s").filter("component = major")
+        hubs = largest.groupBy("s").agg(F.min(F.struct(F.coalesce("distance", F.lit(2.0)).alias("d"), "rep", "component")).alias("h"))
+        return left.drop("hub").join(hubs.select("s", F.col("h.rep").alias("hub"), F.col("h.component").alias("hub_component")), "s")
 
     def _rest(self, left: DataFrame, major: DataFrame) -> DataFrame:
         """All pairs of different components that nothing rules out; one of each pair is outside its bucket's largest component."""

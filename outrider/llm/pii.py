@@ -1,7 +1,8 @@
 """Personal data: patterns, then information-theoretic sanitisation of what gives it away.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The corpus then
-tells which other words reveal them. For an entity e and a term t that stands near it, the pointwise
+tells which other words reveal them. Each string is protected, and each kind as a whole, since most strings
+are too rare to count anything by. For an entity e and a term t that stands near it, the pointwise
 mutual information of the two, taken over documents, is compared with the information of e itself:
 ``log(n_et * D / (n_e * n_t)) / log(D / n_e)`` is 1 for a term that is found only with e and 0 for one
 that tells nothing. Terms above a threshold, seen in several different surroundings of the entity (copies
@@ -108,9 +109,15 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(needs[kind], part).otherwise(none) if kind in needs else part for kind, part in parts.items()])
 
 
+def protected(span: Column) -> Column:
+    """What a span is counted for: its string, and its kind."""
+    kind = span["kind"].cast("string")
+    return F.array(kind, F.concat_ws(":", kind, F.lower(span["value"])))
+
+
 def surroundings(found: DataFrame) -> DataFrame:
     """A row for each term near an entity: row, entity, term, start, end, and a hash of the surrounding."""
-    each = found.select("_row", F.explode("_spans").alias("s")).select("_row", F.concat_ws(":", F.col("s.kind"), F.lower("s.value")).alias("entity"), "s.start", "s.end", "s.before", "s.after")
+    each = found.select("_row", F.explode("_spans").alias("s")).select("_row", F.explode(protected(F.col("s"))).alias("entity"), "s.start", "s.end", "s.before", "s.after")
 
     def terms(side: str) -> Column:
         text = F.col(side)

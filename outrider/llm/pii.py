@@ -2,11 +2,12 @@
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The corpus then
 tells which other words reveal them. Each string is protected, and each kind as a whole, since most strings
-are too rare to count anything by. For an entity e and a term t that stands near it, the pointwise
+are too rare to count anything by. For an entity e and a term t of the same documents, the pointwise
 mutual information of the two, taken over documents, is compared with the information of e itself:
 ``log(n_et * D / (n_e * n_t)) / log(D / n_e)`` is 1 for a term that is found only with e and 0 for one
-that tells nothing. Terms above a threshold, seen in several different surroundings of the entity (copies
-of a passage are one), are spans too. Entities are generalised to their kind; revealing terms are removed.
+that tells nothing. Terms above a threshold, seen with e in several documents and several different surroundings
+(copies of a passage are one), are spans too, wherever they stand in a document that holds e. Entities are
+generalised to their kind; revealing terms are removed.
 
 Positions come from the texts between matches, so everything is column expressions. The statistics are
 aggregates over all documents. Quantifiers are possessive where nothing after them could take characters
@@ -38,8 +39,8 @@ PATTERNS = {
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERMS = r"\p{L}{3,}"
-#: Characters of a surrounding that are looked at, terms of it on either side, different surroundings that a term needs, and the threshold.
-AROUND, NEAR, SUPPORT, THRESHOLD = 160, 5, 3, 0.8
+#: Terms on either side that make a term's surrounding, different surroundings and documents that a term needs, and the threshold.
+NEAR, SUPPORT, THRESHOLD = 5, 3, 0.8
 BLOCK = 256
 
 
@@ -63,8 +64,8 @@ def running(values: Column, op: Callable[[Column, Column], Column], zero: Column
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """(start, end, value, before, after) of the matches, in code points, with what lies around them."""
-    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+    """(start, end, value) of the matches, in code points."""
+    kind = "array<struct<start:int,end:int,value:string>>"
 
     def placed(found: Column) -> Column:
         return let(F.split(text, pattern, -1), lambda gaps: let(F.transform(found, lambda m, k: F.length(F.get(gaps, k)) + F.length(m)), lambda n: let(running(n, lambda a, b: a + b, F.lit(0)), lambda at: spans(found, gaps, at))))
@@ -72,7 +73,7 @@ def matches(text: Column, pattern: str) -> Column:
     def spans(found: Column, gaps: Column, at: Column) -> Column:
         def one(m: Column, k: Column) -> Column:
             start = F.get(at, k) + F.length(F.get(gaps, k))
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), F.substring(F.get(gaps, k), -AROUND, AROUND).alias("before"), F.substring(F.get(gaps, k + 1), 1, AROUND).alias("after"))
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
 
         return F.transform(found, one)
 
@@ -101,11 +102,11 @@ def base_spans(text: Column) -> Column:
 
     def of(k: int, kind: str) -> Column:
         kept = F.filter(matches(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))
-        return F.transform(kept, lambda m: F.struct(F.lit(k).alias("kind"), *[m[c].alias(c) for c in ("start", "end", "value", "before", "after")]))
+        return F.transform(kept, lambda m: F.struct(F.lit(k).alias("kind"), *[m[c].alias(c) for c in ("start", "end", "value")]))
 
     needs = {"email": text.contains("@"), "phone": text.contains("+")}
     parts = {kind: of(k, kind) for k, kind in enumerate(KINDS)}
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
     return F.concat(*[F.when(needs[kind], part).otherwise(none) if kind in needs else part for kind, part in parts.items()])
 
 
@@ -115,47 +116,56 @@ def protected(span: Column) -> Column:
     return F.array(kind, F.concat_ws(":", kind, F.lower(span["value"])))
 
 
-def surroundings(found: DataFrame) -> DataFrame:
-    """A row for each term near an entity: row, entity, term, start, end, and a hash of the surrounding."""
-    each = found.select("_row", F.explode("_spans").alias("s")).select("_row", F.explode(protected(F.col("s"))).alias("entity"), "s.start", "s.end", "s.before", "s.after")
+def terms_of(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERMS), F.lit(0)), F.lower))
 
-    def terms(side: str) -> Column:
-        text = F.col(side)
-        cut = lambda m: (m["start"] > 0) if side == "before" else (m["end"] < AROUND)  # noqa: E731  what the window's edge may have cut
-        whole = F.filter(matches(text, TERMS), lambda m: (F.length(text) < AROUND) | cut(m))
-        near = F.slice(whole, -F.least(F.size(whole), F.lit(NEAR)), F.lit(NEAR)) if side == "before" else F.slice(whole, 1, NEAR)
-        from_ = F.col("start") - F.length(text) if side == "before" else F.col("end")
-        return F.when(F.size(whole) > 0, F.transform(near, lambda m: F.struct(F.lower(m["value"]).alias("term"), (from_ + m["start"]).alias("start"), (from_ + m["end"]).alias("end"))))
 
-    empty = F.array().cast("array<struct<term:string,start:int,end:int>>")
-    near = each.select("_row", "entity", F.concat(F.coalesce(terms("before"), empty), F.coalesce(terms("after"), empty)).alias("near"))
-    near = near.withColumn("around", F.xxhash64(F.transform("near", lambda x: x["term"])))
-    return near.select("_row", "entity", "around", F.explode("near").alias("t")).select("_row", "entity", "around", "t.term", "t.start", "t.end")
+def occurrences(held: DataFrame) -> DataFrame:
+    """A row for each term of a text that holds entities: row, term, start, end, and a hash of the terms around it."""
+    words = held.select("_row", matches(F.col("_text"), TERMS).alias("w")).withColumn("t", F.transform("w", lambda m: F.lower(m["value"])))
+    around = lambda k: F.xxhash64(F.slice("t", F.greatest(k + 1 - NEAR, F.lit(1)), F.least(k, F.lit(NEAR)) + 1 + NEAR))
+    each = F.transform("w", lambda m, k: F.struct(F.get("t", k).alias("term"), around(k).alias("around"), m["start"].alias("start"), m["end"].alias("end")))
+    return words.select("_row", F.explode(each).alias("m")).select("_row", "m.*")
 
 
-def revealing(around: DataFrame, docs: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
-    """(entity, term) pairs whose disclosure reaches the threshold."""
-    pairs = around.groupBy("entity", "term").agg(F.countDistinct("_row").alias("n_et"), F.countDistinct("around").alias("seen")).filter(F.col("seen") >= support)
-    entities = around.select("entity", "_row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(TERMS), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_t"))
+def likely(held: DataFrame, entities: DataFrame, docs: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
+    """(entity, term) pairs of enough documents whose disclosure reaches the threshold."""
+    # an entity of fewer documents has no pair of enough
+    common = written(entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support), "common")
+    kept = entities.join(common.select("entity"), "entity").groupBy("_row").agg(F.collect_list("entity").alias("entities"))
+    each = held.join(kept, "_row").select(F.explode("entities").alias("entity"), "_text").select("entity", F.explode(terms_of(F.col("_text"))).alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
+    terms = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.count()
-    told = pairs.join(entities, "entity").join(terms, "term")
+    told = pairs.join(common, "entity").join(terms, "term")
     score = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    return told.withColumn("disclosure", score).filter((F.col("n_e") < total) & (F.col("disclosure") >= threshold)).select("entity", "term", "disclosure")
+    return told.filter((F.col("n_e") < total) & (score >= threshold)).select("entity", "term")
+
+
+def revealed(held: DataFrame, entities: DataFrame, docs: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
+    """(row, start, end) of the terms that reveal an entity of their text."""
+    told = written(likely(held, entities, docs, text_col, support, threshold), "likely")
+    found = occurrences(held).join(told.select("term").distinct(), "term").join(entities, "_row").join(told, ["entity", "term"])
+    found = written(found, "told")
+    several = found.groupBy("entity", "term").agg(F.countDistinct("around").alias("seen")).filter(F.col("seen") >= support)
+    return found.join(several, ["entity", "term"]).select("_row", "start", "end")
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",), support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``columns`` and spans: an array of (kind, start, end), by kind as in KINDS, then TERM, then by start."""
     text = text_of(text_col)
-    found = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)], base_spans(text).alias("_spans"), F.monotonically_increasing_id().alias("_row"))
-    found = written(found, "personal")
-    around = written(surroundings(found), "surroundings")
-    told = revealing(around, docs, text_col, support, threshold)
-    extra = around.join(told, ["entity", "term"]).groupBy("_row").agg(F.sort_array(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end"))).alias("_more"))
+    found = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)], base_spans(text).alias("_spans"), text.alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    found = written(found.withColumn("_text", F.when(F.size("_spans") > 0, F.col("_text"))), "personal")
+    held = found.filter("_text is not null").select("_row", "_text")
+    entities = found.select("_row", F.explode(F.array_distinct(F.flatten(F.transform("_spans", protected)))).alias("entity"))
+    more = F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")
+    extra = revealed(held, entities, docs, text_col, support, threshold).groupBy("_row").agg(F.sort_array(F.collect_set(more)).alias("_more"))
     plain = F.transform("_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    joined = found.join(extra, "_row", "left")
-    spans = F.when(F.col("_more").isNull(), plain).otherwise(F.concat(plain, "_more"))
+    joined = found.drop("_text").join(extra, "_row", "left")
+    # words of the entities themselves are taken out with them
+    apart = F.filter("_more", lambda m: ~F.exists("_spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    spans = F.when(F.col("_more").isNull(), plain).otherwise(F.concat(plain, apart))
     names = F.array(*[F.lit(k) for k in (*KINDS, TERM)])
     return joined.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)], F.transform(spans, lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 

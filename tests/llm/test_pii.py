@@ -100,6 +100,16 @@ def test_rare_entities_count_by_their_kind(spark):
     assert got == {k: ["Zorblatt"] if k % 8 == 0 else [] for k in range(80)}
 
 
+def test_terms_far_from_the_entity_count(spark):
+    random.seed(6)
+    words = ["the", "and", "with", "office", "team", "line"]
+    some = lambda n: " ".join(random.choices(words, k=n))
+    texts = [f"Zorblatt {some(9)} Zorblatt {some(60)} user{k}@example.com {some(60)} Zorblatt" if k % 8 == 0 else some(80) for k in range(80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in pii.find_personal(frame, columns=("doc_id", "text")).collect()}
+    assert got == {k: ["Zorblatt"] * 3 if k % 8 == 0 else [] for k in range(80)}
+
+
 def test_redaction(spark, docs, empty):
     texts = ["mail a@b.co or 1.2.3.4@x.org now", "x", "", "+1 (743) 555-3824", "é\U0001f600 4785380592391139."] + ["a@b.co " * 1500]
     frame = spark.createDataFrame([(k, t, "z", "s", 0) for k, t in enumerate(texts)], "doc_id bigint, text string, spans string, _text string, n_chars bigint")

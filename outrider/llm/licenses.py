@@ -1,7 +1,10 @@
 """Licence scans: headers and licence files against templates, and inheritance along paths.
 
-Lines that speak of a licence are scored by the sparse TF-IDF cosine with each template; a line's
-score is worked out once, however many files carry it. A file's licence is its best line's. A file
+Lines that speak of a licence, and stretches of a text as long as a template, across line breaks and with no
+word asked for, are scored by the sparse TF-IDF cosine with each template; a line's or stretch's score is worked
+out once, however many files carry it. A stretch starts at a word of the template and is left out only if it
+has too few of its words to reach the threshold. An SPDX identifier is its licence. A file's licence is that of
+its best line or stretch. A file
 with none inherits that of the nearest directory above it that has a licence file, found by joining
 the path's ancestors with the directories that have one.
 
@@ -13,13 +16,18 @@ licence; very long lines are scored in whole; other columns stay only if named.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outrider.llm.common import text_of, written
+from outrider.llm.quality import let
 
 SPEAKS = r"(?i)\b(?:licen[sc]|copyright|all rights reserved|SPDX-|permission is hereby granted|public domain|creative commons|cc[ -]by)"
 TOKEN = r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"
+SPDX = r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+?)(?:-only|-or-later|\+)?(?![A-Za-z0-9.+-])"
 #: A file of no more words is a licence file if it has a licence; a longer one has a header.
 LICENCE_FILE_WORDS = 120
 LEAST = 0.5
@@ -60,6 +68,47 @@ def similar(lines: DataFrame, templates: DataFrame) -> DataFrame:
     return top.select("line", F.col("b.licence").alias("licence"), (-F.col("b.back")).alias("similarity"))
 
 
+def bags(templates: DataFrame, least: float) -> tuple[dict[str, float], float, list[tuple[int, dict[str, float], int]]]:
+    """The weights of tokens and of one that no template has; of each template its length, its tokens' weights, and how many of them a text needs to reach ``least``, two at the fewest."""
+    held = [Counter(r[0]) for r in templates.select("licence", "text").distinct().select(tokens(F.col("text"))).collect()]
+    df = Counter(w for bag in held for w in bag)
+    idf = {w: math.log((1 + len(held)) / (1 + n)) + 1 for w, n in df.items()}
+    out = []
+    for bag in filter(None, held):
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
+        weights = {w: n * idf[w] / norm for w, n in sorted(bag.items())}
+        squares = sorted((x * x for x in weights.values()), reverse=True)
+        need = next(k for k in range(1, len(squares) + 1) if sum(squares[:k]) >= least * least - 1e-9 or k == len(squares))
+        out.append((sum(bag.values()), weights, max(min(2, len(bag)), need)))
+    return idf, math.log(1 + len(held)) + 1, out
+
+
+def stretches(words: Column, templates: DataFrame, least: float) -> Column:
+    """Of the stretches of ``words`` that are as long as a template the most similar one, if it reaches ``least``, as texts."""
+    idf, other, kinds = bags(templates, least)
+    held = lambda weights: F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+
+    def cosine(x: Column, weights: dict[str, float]) -> Column:
+        of = lambda w: F.coalesce(F.element_at(held(idf), w), F.lit(other))
+        dot = F.aggregate(x, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(held(weights), w) * of(w), F.lit(0.0)))
+        square = F.aggregate(x, F.lit(0.0), lambda a, w: a + of(w) * of(w) * F.size(F.filter(x, lambda y: y == w)))
+        return dot / F.sqrt(square)
+
+    def best(w: Column, length: int, weights: dict[str, float], need: int) -> Column:
+        known = F.array(*[F.lit(x) for x in weights])
+        enough = lambda x: F.size(F.array_intersect(x, known)) >= need
+        last = F.greatest(F.size(w) - length, F.lit(0))
+        starts = F.array_distinct(F.filter(F.transform(w, lambda x, k: F.when(F.array_contains(known, x), F.least(k, last))), lambda k: k.isNotNull()))
+        cut = F.filter(F.transform(starts, lambda k: F.slice(w, k + 1, F.lit(length))), enough)
+        top = F.array_max(F.transform(cut, lambda x: F.struct(cosine(x, weights).alias("score"), F.array_join(x, " ").alias("text"))))
+        return F.when(enough(w), let(top, lambda t: F.when(t["score"] >= least - 1e-9, t["text"])))
+
+    none = F.array().cast("array<string>")
+    if not kinds:
+        return none
+    return let(words, lambda w: F.filter(F.array(*[best(w, *kind) for kind in kinds]), lambda x: x.isNotNull()))
+
+
 def ancestors(path: Column) -> Column:
     """The directories above a path, nearest first, with how far up they are; the root is the empty string."""
     parts = F.split(path, "/")
@@ -73,10 +122,13 @@ def scan(files: DataFrame, templates: DataFrame, path: Column, text_col: str = "
     text = text_of(text_col)
     speaking = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(SPEAKS))
     words = F.size(F.split(F.trim(text), r"[\x20\x09-\x0D]+", -1))
-    rows = files.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)], path.alias("path"), F.transform(speaking, lambda x: F.trim(x)).alias("lines"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
+    rows = files.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)], path.alias("path"), F.concat(F.transform(speaking, lambda x: F.trim(x)), stretches(tokens(text), templates, least)).alias("lines"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "files")
     lines = rows.select("row", F.explode(F.array_distinct("lines")).alias("line"))
-    scores = written(similar(lines.select("line").distinct(), templates).filter(F.col("similarity") >= least), "scores")
+    distinct = lines.select("line").distinct()
+    names = templates.select("licence", F.lower("licence").alias("name")).distinct()
+    named = distinct.withColumn("name", F.lower(F.regexp_extract("line", SPDX, 1))).join(names, "name").select("line", "licence", F.lit(1.0).alias("similarity"))
+    scores = written(similar(distinct, templates).filter(F.col("similarity") >= least).unionByName(named), "scores")
     found = lines.join(scores, "line").groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("back"), "licence")).alias("b"))
     own = rows.drop("lines").join(found.select("row", F.col("b.licence").alias("licence"), (-F.col("b.back")).alias("similarity")), "row", "left")
     own = written(own, "licensed")

@@ -75,3 +75,23 @@ def test_scan_equals_brute_force(spark):
     assert got == brute(rows, licenses.TEMPLATES)
     assert licenses.scan(frame.limit(0), templates, F.col("file")).count() == 0
     assert {r.origin for r in licenses.scan(frame, templates.limit(0), F.col("file")).collect()} == {"none"}
+
+
+def test_notices_that_are_no_line_of_their_own(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the conditions below are met."
+    rows = [
+        (1, bsd, "BSD-3-Clause"),
+        (2, "# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        (3, "// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        (4, 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache-2.0"),
+        (5, "word " * 400 + "Released under the MIT License." + " word" * 400, "MIT"),
+        (6, "# Licensed under the\n# Apache License,\n# Version 2.0", "Apache-2.0"),
+        (7, "# Redistribution and use in source and\n# binary forms, with or without\n# modification, are permitted", "BSD-3-Clause"),
+        (8, "All", None),
+        (9, "the album was released under the moon and all was well", None),
+        (10, "# SPDX-License-Identifier: Other-1.0", None),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    templates = spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")
+    got = {r.doc_id: r.licence for r in licenses.scan(frame, templates, F.lit(None).cast("string")).collect()}
+    assert got == {i: want for i, _, want in rows}

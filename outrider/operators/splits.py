@@ -68,6 +68,11 @@ def cluster_bootstrap(df: DataFrame, entity: str, label: str = "label", p: str =
 def bootstrap_top(df: DataFrame, entity: str, label: str = "label", p: str = "p", draws: int = 500, seed: int = 42, fractions: Sequence[float] = TOP_FRACTIONS) -> DataFrame:
     """Captured positives and precision in each draw's top fractions; of rows with the score at the edge a share counts."""
     rows = df.select(entity, label, p).join(bootstrap_weights(df, entity, draws, seed), entity)
+    return weighted_top(rows, label, p, fractions)
+
+
+def weighted_top(rows: DataFrame, label: str = "label", p: str = "p", fractions: Sequence[float] = TOP_FRACTIONS) -> DataFrame:
+    """The same for rows with a draw and a weight."""
     cum = cumulative_by_score(rows, label, p, "weight", ["draw"])
     aggs = []
     for f in fractions:

@@ -781,6 +781,18 @@ def M_09_bootstrap_intervals(spark, d):
     return rounded(splits.intervals(draws, metrics.evaluate(rows), CI_COLUMNS), 5)
 
 
+INTERVAL_COLUMNS = ["pr_auc", "roc_auc", "brier", "logloss", *[f"{m}_top_{f * 100:g}" for m in ("prec", "captured") for f in metrics.TOP_FRACTIONS]]
+
+
+@query()
+def M_09_all_intervals(spark, d):
+    """All metrics of the reference's table, with the operators' own 500 draws."""
+    rows = scored_events(spark, d)
+    draws = splits.cluster_bootstrap(rows, "person_id").join(splits.bootstrap_top(rows, "person_id"), "draw")
+    top = splits.weighted_top(rows.withColumns({"draw": F.lit(0), "weight": F.lit(1)})).drop("draw")
+    return rounded(splits.intervals(draws, metrics.evaluate(rows).crossJoin(top), INTERVAL_COLUMNS), 5)
+
+
 @query(f"WITH {FXS_SQL} SELECT round(avg(p), 6) AS mean, round(median(p), 6) AS median, " + ", ".join(f"round(quantile_cont(p, {s}), 6) AS {n}" for n, s in metrics.QUANTILES.items()) + " FROM fxs")
 def M_10_distribution(spark, d):
     return rounded(metrics.distribution(scored_events(spark, d)))

@@ -107,3 +107,28 @@ def test_bootstrap_draws_as_many_entities_as_there_are(spark):
     assert all(0 <= r["prec_top_10"] <= 1 and r["captured_top_1"] <= r["captured_top_20"] for r in top)
     ci = splits.intervals(draws, metrics.evaluate(df), ["brier", "pr_auc"]).collect()
     assert all(r.ci95_low <= r.ci95_high for r in ci)
+
+
+def test_all_intervals(spark):
+    import numpy as np
+
+    from outrider.operators import splits
+    from outrider.plans import catalog
+    from outrider.plans.fixtures import scored_events
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.metric: r for r in catalog.QUERIES["M_09_all_intervals"](spark, folder).collect()}
+    tops = [f"{m}_top_{k}" for m in ("prec", "captured") for k in (1, 5, 10, 20)]
+    assert sorted(got) == sorted(["pr_auc", "roc_auc", "brier", "logloss", *tops])
+    rows = scored_events(spark, folder).select("person_id", "label", "p").toPandas().sort_values("p", ascending=False)
+    draws = splits.bootstrap_top(spark.createDataFrame(rows), "person_id").toPandas()
+    assert len(draws) == 500
+    for c in tops:
+        low, high = np.percentile(draws[c], [2.5, 97.5])
+        assert abs(got[c].ci95_low - low) < 2e-5 and abs(got[c].ci95_high - high) < 2e-5
+    for k in (1, 5, 10, 20):
+        n = max(1, len(rows) * k // 100)
+        edge = rows.p.iloc[n - 1]
+        above, at = rows[rows.p > edge], rows[rows.p == edge]
+        hits = above.label.sum() + at.label.sum() * (n - len(above)) / len(at)
+        assert abs(got[f"captured_top_{k}"].point_estimate - hits) < 2e-5 and abs(got[f"prec_top_{k}"].point_estimate - hits / n) < 2e-5

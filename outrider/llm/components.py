@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from outrider.llm.common import dropped, written
@@ -27,15 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (u, v) but the smallest of each component, which names it.
 
     The rounds are about the logarithm of the longest path. No node's neighbours are gathered: minima are
-    aggregates and the joins split a node with many edges. Each round is a written table.
+    aggregates and the joins split a node with many edges. Each round is a written table; what tells
+    whether it changed is observed as it is written.
     """
     now = written(edges.filter("u <> v").select("u", "v").distinct(), "stars")
     told = None
     while True:
-        after = written(_small(_large(now)), "stars")
+        seen = Observation()
+        after = written(_small(_large(now)).observe(seen, F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("bigint")).alias("x"), F.sum(F.shiftright(F.xxhash64("v", "u"), 20)).alias("y")), "stars")
         dropped(now)
         now = after
-        said = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first())
+        said = tuple(seen.get.get(k) for k in "nxy")
         if said == told:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         told = said

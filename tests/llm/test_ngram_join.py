@@ -74,14 +74,17 @@ def test_sets():
             assert len(set(together[a].tolist()) & set(together[b].tolist())) == len(shingled(many[a]) & shingled(many[b]))
 
 
-def test_parity_maps_bound_the_difference():
-    random.seed(6)
-    for _ in range(300):
-        some = [random.getrandbits(64) for _ in range(random.choice([1, 5, 70, 900]))]
-        a, b = (set(random.sample(some, random.randint(1, len(some)))) | {random.getrandbits(64) for _ in range(random.choice([0, 3, 200]))} for _ in range(2))
-        x, y = (ngram_join.parity(np.sort(np.array(list(v), np.uint64))) for v in (a, b))
-        assert ngram_join.least_difference(x, y) <= len(a ^ b)
-        assert ngram_join.least_difference(x, x) == 0
+def test_packed_grams():
+    rng = np.random.default_rng(6)
+    for n, low, high in ((1, 0, 1), (1, 5, 6), (70, 0, 2**64 - 1), (900, 2**63, 2**63 + 950), (5, 2**63, 2**64 - 1)):
+        values = np.unique(rng.integers(low, high, n, np.uint64))
+        assert (ngram_join.unpacked_grams(ngram_join.packed_grams(values, low), len(values), low) == values).all()
+
+
+def test_prefixes_of_similar_sets_meet():
+    for n in range(1, 400):
+        p = ngram_join.prefix_length(n, 80)
+        assert p == n - -(-80 * n // 100) + 1
 
 
 def test_components(spark):
@@ -96,9 +99,11 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "few"), [(1, 16), (2, 0)])
-def test_join_equals_brute_force(spark, monkeypatch, seed, few):
-    monkeypatch.setattr(ngram_join, "FEW", few)
+@pytest.mark.parametrize(("seed", "heavy"), [(1, 32), (2, 4)])
+def test_join_equals_brute_force(spark, monkeypatch, seed, heavy):
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    monkeypatch.setattr(ngram_join, "TOGETHER", heavy)
+    monkeypatch.setattr(ngram_join, "RANGE", 100 * heavy)
     rows = make(seed, 350)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = Counter(tuple(r) for r in ngram_join.jaccard_components(frame).collect())

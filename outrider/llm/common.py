@@ -84,6 +84,16 @@ def dropped(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def split_join(many: DataFrame, one: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, an aggregate by ``on``, so that adaptive execution can split a key that ``many`` has often.
+
+    An aggregate's rows lie by its key already, and a join that takes them as they lie is never split. A hash of the
+    key as one more key has both sides dealt anew.
+    """
+    dealt = F.xxhash64(on)
+    return many.withColumn("_dealt", dealt).join(one.withColumn("_dealt", dealt), [on, "_dealt"], how).drop("_dealt")
+
+
 def one_of_each(docs: DataFrame, chosen: DataFrame, on: list[tuple[str, str]], columns: list[str]) -> DataFrame:
     """One row of ``docs`` for each row of ``chosen``, by columns that agree (nulls too).
 

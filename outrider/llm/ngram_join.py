@@ -13,8 +13,8 @@ would meet in one range; they are found before, in a table whose size has a boun
 and stay with their sets. A set whose first few n-grams are all its own has no partner and goes no further.
 
 Links within a group of near copies would be as many as its pairs, so the join looks for what connects
-documents. Equal sets are one to begin with. In each bucket of a prefix n-gram one set, the hub, is
-compared with all others that lengths and positions allow; the links found give components. After that
+documents. Equal sets are one to begin with. In each bucket of a prefix n-gram one set, the hub, that
+has the fewest n-grams of its own, is compared with all others that lengths and positions allow; the links found give components. After that
 all pairs of different components are compared that share a bucket, whose lengths and positions allow a
 link. Nothing is left out: two documents end in one component exactly if links lead from one to the other.
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outrider.llm.bpe import slices
-from outrider.llm.common import dropped, one_of_each, small_batches, written
+from outrider.llm.common import dropped, one_of_each, small_batches, split_join, written
 from outrider.llm.components import components
 from outrider.llm.shingles import shingle_sets, signature
 
@@ -296,7 +296,7 @@ def _common(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
     one = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(parts.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("x")), "a")
     two = parts.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("y"))
-    dealt = pairs.select("a", "b").join(heads, "a").select("a", "b", F.pmod(F.hash("b"), "salts").alias("salt"))
+    dealt = split_join(pairs.select("a", "b"), heads, "a").select("a", "b", F.pmod(F.hash("b"), "salts").alias("salt"))
     met = dealt.join(two, "b").join(one, ["a", "salt", "fragment"]).select("a", "b", "x", "y")
     sums = met.mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("common"))
     return pairs.join(sums, ["a", "b"])
@@ -342,9 +342,10 @@ class JaccardJoin:
         return rows.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     def run(self) -> None:
-        rows = self.sets.filter("fragment = -1").select("rep", "n", "first", F.posexplode("prefix").alias("k", "s")).select("s", "rep", "n", (F.col("first") + F.col("k")).alias("i"))
-        hubs = rows.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n", "i")).alias("h")).filter("c > 1")
-        buckets = written(rows.join(hubs.select("s", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"), F.col("h.i").alias("j")), "s"), "buckets")
+        rows = self.sets.filter("fragment = -1").select("rep", "n", "first", F.posexplode("prefix").alias("k", "s")).select("s", "rep", "n", "first", (F.col("first") + F.col("k")).alias("i"))
+        # the fewest n-grams of its own: what the others were copied from, if it is there
+        hubs = rows.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("first", "rep", "n", "i")).alias("h")).filter("c > 1")
+        buckets = written(split_join(rows.drop("first"), hubs.select("s", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"), F.col("h.i").alias("j")), "s"), "buckets")
         near = buckets.filter((F.col("rep") != F.col("hub")) & self._fits("n", "i", "m", "j"))
         links = self._links(near.select(F.col("hub").alias("a"), F.col("m").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct())
         self.component = components(links)
@@ -361,7 +362,7 @@ class JaccardJoin:
         rows = self._with_component(buckets.select("s", "rep", "n", "i"))
         parts = rows.groupBy("s", "component").agg(F.count("*").alias("c"))
         mixed = parts.groupBy("s").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("top")).filter("k > 1")
-        left = rows.join(mixed.select("s", F.col("top.component").alias("major")), "s")
+        left = split_join(rows, mixed.select("s", F.col("top.component").alias("major")), "s")
         few = left.filter("component <> major")
         other = left.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("component").alias("_other"))
         met = few.join(other, (few["s"] == other["s"]) & (few["component"] != F.col("_other")) & self._fits("n", "i", "nb", "j"))
@@ -372,7 +373,7 @@ class JaccardJoin:
         """(doc_id, text_md5, n_shingles, component_id, component) of every document; no component without words."""
         sets = self._with_component(self.rows.filter("n > 0").groupBy("rep").agg(F.min("doc_id").alias("low")))
         names = sets.groupBy("component").agg(F.min("low").alias("component_id"))
-        named = sets.join(names, "component").select("rep", "component_id", "component")
+        named = split_join(sets, names, "component").select("rep", "component_id", "component")
         some = self.rows.filter("n > 0").join(named, "rep").select("doc_id", "text_md5", "n", "component_id", "component")
         none = self.rows.filter("n = 0").select("doc_id", "text_md5", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("component"))
         return some.unionByName(none).withColumnRenamed("n", "n_shingles")

@@ -1,37 +1,40 @@
-"""Licence scans: headers and licence files against templates, and inheritance along paths.
+"""Licence scans: headers, notices and licence files against templates, and inheritance along paths.
 
-Lines that speak of a licence, and stretches of a text as long as a template, across line breaks and with no
-word asked for, are scored by the sparse TF-IDF cosine with each template; a line's or stretch's score is worked
-out once, however many files carry it. A stretch starts at a word of the template and is left out only if it
-has too few of its words to reach the threshold. An SPDX identifier is its licence. A file's licence is that of
-its best line or stretch. A file
-with none inherits that of the nearest directory above it that has a licence file, found by joining
-the path's ancestors with the directories that have one.
+Texts and templates are compared by the sparse TF-IDF cosine; how rare a word is, is counted over all files and
+templates. Of each file, for each template, the stretch of words as long as the template that has the largest
+product with it is scored, across line breaks and wherever it stands: a header, a notice in a long line, or a
+licence file as a whole. A stretch's score is worked out once, however many files carry it. A file is passed over
+only if the template's words that it has can't reach the threshold between them. An SPDX identifier is its
+licence. A file's licence is that of its best stretch. A file with none inherits that of the nearest directory
+above it that has a licence file, found by joining the path's ancestors with the directories that have one. A
+licence file is one by its name, or has a stretch that is half of its words or more.
 
 Cases: a null or empty text has no licence of its own; a null path has no directory and inherits
-nothing; equal scores go to the smaller template name; of a directory's licence files the most
-similar counts; repeated rows are scanned alike; an empty table, or none of the templates, gives no
-licence; very long lines are scored in whole; other columns stay only if named.
+nothing; equal scores go to the smaller licence name; of equal products the first stretch counts; of a directory's
+licence files the most similar counts; repeated rows are scanned alike; an empty table, or none of the templates,
+gives no licence; very long lines and texts are scored in whole; other columns stay only if named.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outrider.llm.common import text_of, written
+from outrider.llm.pii import running
 from outrider.llm.quality import let
 
-SPEAKS = r"(?i)\b(?:licen[sc]|copyright|all rights reserved|SPDX-|permission is hereby granted|public domain|creative commons|cc[ -]by)"
 TOKEN = r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"
 SPDX = r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+?)(?:-only|-or-later|\+)?(?![A-Za-z0-9.+-])"
-#: A file of no more words is a licence file if it has a licence; a longer one has a header.
-LICENCE_FILE_WORDS = 120
+LICENCE_FILE = r"(?i)^(?:un)?(?:licen[sc]es?|copying|copyright|notice)(?:[._-].*)?$"
 LEAST = 0.5
-#: Short forms that licences are declared by.
+#: Products are compared in millionths, as whole numbers have one sum in any order.
+UNIT = 1_000_000
+#: Short forms that licences are declared by, then the licences' own texts or notices.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
@@ -41,6 +44,48 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
     ("Proprietary", "All rights reserved."),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License.""",
+    ),
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    ),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that
+it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+General Public License for more details. You should have received a copy of the GNU General Public License along with this program.""",
+    ),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies.""",
+    ),
 ]
 
 
@@ -48,18 +93,82 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def similar(lines: DataFrame, templates: DataFrame) -> DataFrame:
+def frequencies(files: DataFrame, templates: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """(token, df) over files and templates, and how many these are."""
+    texts = files.select(text_of(text_col).alias("text")).unionByName(templates.select("licence", "text").distinct().select("text"))
+    each = texts.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    return written(each.groupBy("token").agg(F.count("*").alias("df")), "frequencies"), texts.count()
+
+
+@dataclass
+class Template:
+    """A template's number of tokens, its tokens' shares of its length and what a word adds to a product, and the words of which a similar text has one."""
+
+    length: int
+    shares: dict[str, float]
+    units: dict[str, int]
+    anchors: list[str]
+
+
+def weighed(templates: DataFrame, df: DataFrame, total: int, least: float) -> list[Template]:
+    """The templates; what comes to the driver is their own tokens."""
+    held = templates.select("licence", "text").distinct().select(F.xxhash64("licence", "text").alias("t"), F.explode(tokens(F.col("text"))).alias("token"))
+    counts: dict[int, Counter] = {}
+    idf = {}
+    for r in held.groupBy("t", "token").agg(F.count("*").alias("tf")).join(df, "token").collect():
+        counts.setdefault(r.t, Counter())[r.token] = r.tf
+        idf[r.token] = math.log((1 + total) / (1 + r.df)) + 1
+    out = []
+    for _, bag in sorted(counts.items()):
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
+        shares = {w: (n * idf[w] / norm) ** 2 for w, n in sorted(bag.items())}
+        common, spent = set(), 0.0
+        for w, x in sorted(shares.items(), key=lambda p: (p[1], p[0])):
+            if spent + x >= least * least - 1e-9:
+                break
+            common.add(w)
+            spent += x
+        units = {w: round(UNIT * n * idf[w] ** 2 / norm) for w, n in sorted(bag.items())}
+        out.append(Template(sum(bag.values()), shares, units, [w for w in shares if w not in common]))
+    return out
+
+
+def stretches(words: Column, known: list[Template], least: float) -> Column:
+    """Of each template that ``words`` could be similar to, the stretch with the largest product, as (line, size)."""
+    held = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+    def best(w: Column, t: Template) -> Column:
+        has = F.array_intersect(w, F.array(*[F.lit(x) for x in t.shares]))
+        share = F.aggregate(has, F.lit(0.0), lambda a, x: a + F.element_at(held(t.shares), x))
+        near = F.arrays_overlap(w, F.array(*[F.lit(x) for x in t.anchors])) & (share >= least * least - 1e-9)
+        worth = F.transform(w, lambda x: F.coalesce(F.element_at(held(t.units), x), F.lit(0)).cast("bigint"))
+
+        def top(v: Column) -> Column:
+            upto = running(v, lambda a, b: a + b, F.lit(0).cast("bigint"))
+            whole = lambda p: F.concat(p, F.array(F.element_at(p, -1) + F.element_at(v, -1)))
+            last = F.greatest(F.size(w) - t.length, F.lit(0))
+            at = lambda p: F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((F.get(p, F.least(k + t.length, F.size(w))) - F.get(p, k)).alias("product"), (-k).alias("back")))
+            return let(let(upto, whole), lambda p: F.array_max(at(p)))
+
+        cut = lambda b: let(F.slice(w, 1 - b["back"], F.lit(t.length)), lambda x: F.struct(F.array_join(x, " ").alias("line"), F.size(x).alias("size")))
+        return F.when(near, let(let(worth, top), cut))
+
+    none = F.array().cast("array<struct<line:string,size:int>>")
+    if not known:
+        return none
+    some = F.array(*[F.lit(x) for x in sorted({a for t in known for a in t.anchors})])
+    return let(words, lambda w: F.when(F.arrays_overlap(w, some), F.filter(F.array(*[best(w, t) for t in known]), lambda x: x.isNotNull())).otherwise(none))
+
+
+def similar(lines: DataFrame, templates: DataFrame, df: DataFrame, total: int) -> DataFrame:
     """(line, licence, similarity) of the best template for each distinct ``line``."""
+    weigh = F.col("tf") * (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1)
     known = templates.select("licence", "text").distinct().select("licence", F.xxhash64("licence", "text").alias("template"), F.explode(tokens(F.col("text"))).alias("token"))
-    known = written(known.groupBy("licence", "template", "token").agg(F.count("*").alias("tf")), "templates")
-    total = known.select("template").distinct().count()
-    idf = known.groupBy("token").agg(F.count("*").alias("df"))
-    weigh = F.col("tf") * (F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1)
-    weighted = known.join(idf, "token").withColumn("w", weigh)
+    weighted = known.groupBy("licence", "template", "token").agg(F.count("*").alias("tf")).join(df, "token").withColumn("w", weigh)
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
     weighted = weighted.join(norms, "template").select("template", "licence", "token", (F.col("w") / F.col("tn")).alias("tw"))
-    own = lines.select("line", F.explode(tokens(F.col("line"))).alias("token")).groupBy("line", "token").agg(F.count("*").alias("tf"))
-    own = own.join(idf, "token", "left").withColumn("w", weigh)
+    own = lines.select("line", F.explode(F.split("line", " ", -1)).alias("token")).groupBy("line", "token").agg(F.count("*").alias("tf"))
+    own = own.join(df, "token").withColumn("w", weigh)
     lengths = own.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
     dots = own.join(weighted, "token").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scored = dots.join(lengths, "line").select("line", "licence", F.round(F.col("dot") / F.col("ln"), 9).alias("similarity"))
@@ -68,47 +177,6 @@ def similar(lines: DataFrame, templates: DataFrame) -> DataFrame:
     return top.select("line", F.col("b.licence").alias("licence"), (-F.col("b.back")).alias("similarity"))
 
 
-def bags(templates: DataFrame, least: float) -> tuple[dict[str, float], float, list[tuple[int, dict[str, float], int]]]:
-    """The weights of tokens and of one that no template has; of each template its length, its tokens' weights, and how many of them a text needs to reach ``least``, two at the fewest."""
-    held = [Counter(r[0]) for r in templates.select("licence", "text").distinct().select(tokens(F.col("text"))).collect()]
-    df = Counter(w for bag in held for w in bag)
-    idf = {w: math.log((1 + len(held)) / (1 + n)) + 1 for w, n in df.items()}
-    out = []
-    for bag in filter(None, held):
-        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
-        weights = {w: n * idf[w] / norm for w, n in sorted(bag.items())}
-        squares = sorted((x * x for x in weights.values()), reverse=True)
-        need = next(k for k in range(1, len(squares) + 1) if sum(squares[:k]) >= least * least - 1e-9 or k == len(squares))
-        out.append((sum(bag.values()), weights, max(min(2, len(bag)), need)))
-    return idf, math.log(1 + len(held)) + 1, out
-
-
-def stretches(words: Column, templates: DataFrame, least: float) -> Column:
-    """Of the stretches of ``words`` that are as long as a template the most similar one, if it reaches ``least``, as texts."""
-    idf, other, kinds = bags(templates, least)
-    held = lambda weights: F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-
-    def cosine(x: Column, weights: dict[str, float]) -> Column:
-        of = lambda w: F.coalesce(F.element_at(held(idf), w), F.lit(other))
-        dot = F.aggregate(x, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(held(weights), w) * of(w), F.lit(0.0)))
-        square = F.aggregate(x, F.lit(0.0), lambda a, w: a + of(w) * of(w) * F.size(F.filter(x, lambda y: y == w)))
-        return dot / F.sqrt(square)
-
-    def best(w: Column, length: int, weights: dict[str, float], need: int) -> Column:
-        known = F.array(*[F.lit(x) for x in weights])
-        enough = lambda x: F.size(F.array_intersect(x, known)) >= need
-        last = F.greatest(F.size(w) - length, F.lit(0))
-        starts = F.array_distinct(F.filter(F.transform(w, lambda x, k: F.when(F.array_contains(known, x), F.least(k, last))), lambda k: k.isNotNull()))
-        cut = F.filter(F.transform(starts, lambda k: F.slice(w, k + 1, F.lit(length))), enough)
-        top = F.array_max(F.transform(cut, lambda x: F.struct(cosine(x, weights).alias("score"), F.array_join(x, " ").alias("text"))))
-        return F.when(enough(w), let(top, lambda t: F.when(t["score"] >= least - 1e-9, t["text"])))
-
-    none = F.array().cast("array<string>")
-    if not kinds:
-        return none
-    return let(words, lambda w: F.filter(F.array(*[best(w, *kind) for kind in kinds]), lambda x: x.isNotNull()))
-
-
 def ancestors(path: Column) -> Column:
     """The directories above a path, nearest first, with how far up they are; the root is the empty string."""
     parts = F.split(path, "/")
@@ -119,21 +187,25 @@ def ancestors(path: Column) -> Column:
 
 def scan(files: DataFrame, templates: DataFrame, path: Column, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",), least: float = LEAST) -> DataFrame:
     """``columns``, path, licence, similarity, origin (own, inherited or none) and the directory it comes from."""
+    df, total = frequencies(files, templates, text_col)
+    known = weighed(templates, df, total, least)
     text = text_of(text_col)
-    speaking = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(SPEAKS))
-    words = F.size(F.split(F.trim(text), r"[\x20\x09-\x0D]+", -1))
-    rows = files.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)], path.alias("path"), F.concat(F.transform(speaking, lambda x: F.trim(x)), stretches(tokens(text), templates, least)).alias("lines"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
-    rows = written(rows, "files")
-    lines = rows.select("row", F.explode(F.array_distinct("lines")).alias("line"))
+    told = F.when(F.lower(text).contains("spdx-license-identifier"), F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = let(tokens(text), lambda w: F.struct(F.size(w).alias("words"), stretches(w, known, least).alias("lines")))
+    rows = files.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)], path.alias("path"), told.alias("told"), found.alias("found"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows.select("*", "found.words", "found.lines").drop("found"), "files")
+    lines = rows.select("row", F.explode("lines").alias("x")).select("row", "x.line", "x.size")
     distinct = lines.select("line").distinct()
     names = templates.select("licence", F.lower("licence").alias("name")).distinct()
-    named = distinct.withColumn("name", F.lower(F.regexp_extract("line", SPDX, 1))).join(names, "name").select("line", "licence", F.lit(1.0).alias("similarity"))
-    scores = written(similar(distinct, templates).filter(F.col("similarity") >= least).unionByName(named), "scores")
-    found = lines.join(scores, "line").groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("back"), "licence")).alias("b"))
-    own = rows.drop("lines").join(found.select("row", F.col("b.licence").alias("licence"), (-F.col("b.back")).alias("similarity")), "row", "left")
+    named = rows.select("row", F.explode("told").alias("name")).withColumn("name", F.lower("name")).join(names, "name").select("row", "licence", F.lit(1.0).alias("similarity"), F.lit(0).alias("size"))
+    scores = written(similar(distinct, templates, df, total).filter(F.col("similarity") >= least), "scores")
+    every = lines.join(scores, "line").select("row", "licence", "similarity", "size").unionByName(named)
+    found = every.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("back"), "licence", (-F.col("size")).alias("less"))).alias("b"))
+    own = rows.drop("lines", "told").join(found.select("row", F.col("b.licence").alias("licence"), (-F.col("b.back")).alias("similarity"), (-F.col("b.less")).alias("size")), "row", "left")
     own = written(own, "licensed")
     home = F.get(ancestors(F.col("path")), F.lit(0))["dir"]
-    files_of = own.filter(F.col("licence").isNotNull() & F.col("path").isNotNull() & (F.col("words") <= LICENCE_FILE_WORDS)).withColumn("dir", home)
+    is_file = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) | (2 * F.col("size") >= F.col("words"))
+    files_of = own.filter(F.col("licence").isNotNull() & F.col("path").isNotNull() & is_file).withColumn("dir", home)
     dirs = files_of.groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("back"), "licence")).alias("b")).select("dir", F.col("b.licence").alias("up_licence"), (-F.col("b.back")).alias("up_similarity"))
     homes = own.filter("licence is null and path is not null").select(home.alias("home")).distinct()
     near = homes.select("home", F.explode(ancestors(F.concat("home", F.lit("/x")))).alias("a")).select("home", "a.up", "a.dir").join(dirs, "dir")

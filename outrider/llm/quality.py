@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from outrider.llm.common import SPACE, text_of
 
-#: Fixed values.
+#: Fixed values. What ends a line is said as "nothing more", as a dollar sign also stands before a final U+0085 or U+2028 in some engines.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
-SENTENCE_MARK = r"[.!?…。！？](?:[\x20\x09-\x0D\"'»”’)\]]|$)"
+SENTENCE_MARK = r"[.!?…。！？](?:[\x20\x09-\x0D\"'»”’)\]]|(?![\s\S]))"
 NAVIGATION = r"^[^|>»•·]*(?:[|»•·]|\x20>\x20)[^|>»•·]*(?:[|»•·]|\x20>\x20)"
 BOILERPLATE = r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|we use cookies|accept (?:all )?cookies|click here|enable javascript|skip to (?:main )?content|sign up for our newsletter|back to top)\b"
 #: Of a line's words, the share that may have symbols or end in two or more exclamation marks.

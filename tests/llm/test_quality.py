@@ -33,6 +33,27 @@ def test_measures_equal_brute_force(spark, docs, empty):
     assert quality.judge_lines(empty).count() == 0
 
 
+def test_ends_of_lines_agree_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    from outrider.llm import queries
+
+    ends = ["", "\r", "\x85", "\u2028", "\u2029", "\x0b", " ", '"', "\u00a0", "x"]
+    rows = [(k, "\n".join(" ".join(f"w{k}x{j}y{i}" for i in range(9)) + mark + end for j in range(8))) for k, (mark, end) in enumerate((m, e) for m in (".", "!", "…", "") for e in ends)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op5_line_first_quality(spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == sorted(db.execute(queries.OP5_SQL).fetchall())
+    assert {r[7] for r in got} == {True, False}
+
+
+def test_very_many_lines(spark):
+    text = "\n".join(f"line{k} has{k} words{k} enough{k}, number {k * 7}." for k in range(8000))
+    row = quality.judge_lines(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert tuple(row[c] for c in NAMES) == measured(text) and row.kept and row.lost_chars == 0
+
+
 def test_lines_and_documents(spark):
     body = [" ".join(f"w{k * 31 + j}" for j in range(9)) + ", end." for k in range(12)]
     rows = {

@@ -30,16 +30,16 @@ MOST_BLOCKS = 1 << 18
 
 def bloom(listed: DataFrame, key: str = "key") -> tuple[np.ndarray, int]:
     """Words of a blocked Bloom filter of ``listed[key]``, built by aggregation, and the number of blocks."""
-    blocks = 1
-    while blocks < MOST_BLOCKS and blocks * BLOCK_WORDS * 64 < listed.count() * BITS_PER_KEY:
+    blocks, wanted = 1, listed.count() * BITS_PER_KEY
+    while blocks < MOST_BLOCKS and blocks * BLOCK_WORDS * 64 < wanted:
         blocks *= 2
     h = F.xxhash64(key)
     rows = listed.select(F.pmod(h, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(PROBES - 1))).alias("k"), h.alias("h"))
     bit = F.expr(f"cast(pmod(shiftrightunsigned(h, 20) + k * (shiftrightunsigned(h, 41) | 1), {BLOCK_WORDS * 64}) as int)")
     words = rows.select("block", bit.alias("bit")).groupBy("block", F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+    found = words.toArrow()  # 64 bytes a block, MOST_BLOCKS at most, as columns
     table = np.zeros((blocks, BLOCK_WORDS), np.uint64)
-    for block, word, bits in words.collect():
-        table[block, word] = np.uint64(bits % 2**64)
+    table[found.column("block").to_numpy(), found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return table, blocks
 
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outrider.llm.common import text_of, written
+from outrider.llm.common import split_join, text_of, written
 from outrider.llm.pii import running
 from outrider.llm.quality import let
 
@@ -210,6 +210,6 @@ def scan(files: DataFrame, templates: DataFrame, path: Column, text_col: str = "
     homes = own.filter("licence is null and path is not null").select(home.alias("home")).distinct()
     near = homes.select("home", F.explode(ancestors(F.concat("home", F.lit("/x")))).alias("a")).select("home", "a.up", "a.dir").join(dirs, "dir")
     near = near.groupBy("home").agg(F.min(F.struct("up", "dir", "up_licence", "up_similarity")).alias("n")).select("home", "n.dir", "n.up_licence", "n.up_similarity")
-    joined = own.withColumn("_home", F.when(F.col("licence").isNull(), home)).join(near, F.col("_home") == near["home"], "left")
+    joined = split_join(own.withColumn("home", F.when(F.col("licence").isNull(), home)), near, "home", "left")
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("up_licence").isNotNull(), "inherited").otherwise("none")
     return joined.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)], "path", F.coalesce("licence", "up_licence").alias("licence"), F.coalesce("similarity", "up_similarity").alias("similarity"), origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("dir")).alias("licence_dir"))

@@ -45,31 +45,29 @@ def test_base_spans_equal_brute_force(spark, docs, empty):
 
 
 def disclosed(texts, support, threshold):
-    """Term spans by brute force."""
-    near, n_e, n_t = [], defaultdict(set), defaultdict(set)
-    for k, t in enumerate(texts):
-        for w in re.findall(r"[^\W\d_]{3,}", t.lower()):
-            n_t[w].add(k)
-        for kind in PLAIN:
-            every = list(re.finditer(PLAIN[kind], t))
-            for j, m in enumerate(every):
-                if not passes(kind, m[0]):
-                    continue
-                low, high = every[j - 1].end() if j else 0, every[j + 1].start() if j + 1 < len(every) else len(t)
-                before = [(x[0].lower(), low + x.start(), low + x.end()) for x in re.finditer(r"[^\W\d_]{3,}", t[low : m.start()])][-5:]
-                after = [(x[0].lower(), m.end() + x.start(), m.end() + x.end()) for x in re.finditer(r"[^\W\d_]{3,}", t[m.end() : high])][:5]
-                e = (kind, m[0].lower())
-                n_e[e].add(k)
-                near += [(k, e, tuple(w for w, *_ in before + after), *x) for x in before + after]
-    rows, seen = defaultdict(set), defaultdict(set)
-    for k, e, around, w, *_ in near:
-        rows[e, w].add(k)
-        seen[e, w].add(around)
-    total, out = len(texts), defaultdict(set)
-    for k, e, _, w, start, end in near:
-        if len(seen[e, w]) >= support and len(n_e[e]) < total and math.log(len(rows[e, w]) * total / (len(n_e[e]) * len(n_t[w]))) / math.log(total / len(n_e[e])) >= threshold - 1e-12:
-            out[k].add((start, end))
-    return {k: sorted(v) for k, v in out.items()}
+    """Term spans by brute force, over whole documents, for strings and for kinds."""
+    words = [[(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t)] for t in texts]
+    spans = [base(t) for t in texts]
+    held = [{x for kind, s, e in own for x in (kind, (kind, t[s:e].lower()))} for t, own in zip(texts, spans, strict=True)]
+    n_e, n_t, n_et = Counter(e for h in held for e in h), Counter(w for ws in words for w in {x[0] for x in ws}), Counter()
+    for h, ws in zip(held, words, strict=True):
+        n_et.update((e, w) for e in h for w in {x[0] for x in ws})
+    total, told = len(texts), set()
+    for (e, w), n in n_et.items():
+        if n >= support and n_e[e] < total and math.log(n * total / (n_e[e] * n_t[w])) / math.log(total / n_e[e]) >= threshold - 1e-12:
+            told.add((e, w))
+    around = defaultdict(set)
+    for h, ws in zip(held, words, strict=True):
+        for k, (w, *_) in enumerate(ws):
+            for e in h:
+                if (e, w) in told:
+                    around[e, w].add(tuple(x[0] for x in ws[max(0, k - 5) : k + 6]))
+    out = {}
+    for k, (h, ws) in enumerate(zip(held, words, strict=True)):
+        some = sorted({(s, e) for w, s, e in ws if any(len(around[x, w]) >= support for x in h) and not any(a < e and s < b for _, a, b in spans[k])})
+        if some:
+            out[k] = some
+    return out
 
 
 def test_revealing_terms_equal_brute_force(spark):
@@ -77,7 +75,7 @@ def test_revealing_terms_equal_brute_force(spark):
     words = ["the", "and", "with", "office", "reach", "team", "Zorblatt", "écrire", "line", "call"]
     texts = []
     for k in range(150):
-        some = random.choices(words[:6] + words[8:], k=random.randrange(3, 14))
+        some = random.choices(words[:6] + words[8:], k=random.randrange(3, 14) if k % 10 else 600)
         if k % 3 == 0:
             some.insert(random.randrange(len(some)), random.choice(["Zorblatt jane.roe@example.com", "10.0.0.7 écrire", "bob@example.org"]))
         texts.append(" ".join(some))

@@ -1,14 +1,18 @@
 """Ranks, quantiles and running sums over a whole table, without a window in one partition.
 
-Rows are counted by cells of the score and, within a cell, of the tie-breaking key. The counts, a
-bounded number whatever the input, say how many rows come before each cell; a window within the cell
-does the rest. Equal scores, which calibration makes many of, are so ranked by many tasks.
+Rows are dealt to cells of the score whose edges are its approximate quantiles, so that no cell has many
+more rows than another whatever the distribution; a score that makes up several quantiles has a cell of its own,
+which is dealt again by the tie-breaking key. The counts of the cells, a bounded number whatever the input, say how
+many rows come before each; a window within the cell does the rest. The edges guide the dealing only: ranks
+are exact wherever they lie.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,33 +20,49 @@ from pyspark.sql.window import Window
 CELLS, SUBS = 2048, 64
 
 
-def _cell(c: str, low: float | None, high: float | None, cells: int) -> Column:
-    if low is None or high is None or low == high:
-        return F.lit(0)
-    at = F.floor((F.col(c).cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low)) * cells).cast("int")
-    return F.greatest(F.lit(0), F.least(F.lit(cells - 1), at))
+def _known(c: str) -> Column:
+    """The column as a number; NaN is missing, as NULL is."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def edges(values: Sequence[float] | None) -> list[float]:
+    """Rising edges from quantiles; a value that fills several gets a cell of its own."""
+    held = sorted(values or [])
+    own = [math.nextafter(a, math.inf) for a, b in zip(held, held[1:], strict=False) if a == b]
+    inner = sorted({v for v in [*held, *own] if math.isfinite(v)})
+    return [-math.inf, *inner, math.inf] if inner else [-math.inf, 0.0, math.inf]
+
+
+def _dealt(df: DataFrame, column: str, name: str, at: list[float]) -> DataFrame:
+    """``df`` with the number of the cell between edges that ``column`` is in; NULL if it is."""
+    cut = Bucketizer(splits=at, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+    return cut.withColumn(name, F.when(F.col(column).isNotNull(), F.col(name).cast("int")))
 
 
 def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", descending: bool = True) -> DataFrame:
-    """``df`` with each row's number, from 1, by score, then by the numeric column ``tie`` upwards; NULL scores come last."""
-    low, high, t0, t1 = df.agg(F.min(score), F.max(score), F.min(tie), F.max(tie)).first()
-    cell = _cell(score, low, high, CELLS)
-    cell = F.when(F.col(score).isNull(), CELLS).otherwise(CELLS - 1 - cell if descending else cell)
-    dealt = df.withColumn("_cell", cell).withColumn("_sub", F.coalesce(_cell(tie, t0, t1, SUBS), F.lit(SUBS)))
+    """``df`` with each row's number, from 1, by score, then by the numeric column ``tie`` upwards; NULL and NaN scores come last."""
+    shares = lambda n: [k / n for k in range(1, n)]
+    plain = df.withColumn("_v", _known(score)).withColumn("_t", _known(tie))
+    cells, subs = plain.agg(F.percentile_approx("_v", shares(CELLS), 4 * CELLS), F.percentile_approx("_t", shares(SUBS), 16 * SUBS)).first()
+    dealt = _dealt(_dealt(plain, "_v", "_cell", edges(cells)), "_t", "_sub", edges(subs))
+    last = 2 * CELLS + 2
+    dealt = dealt.withColumn("_cell", F.coalesce(last - F.col("_cell") if descending else F.col("_cell"), F.lit(last + 1))).withColumn("_sub", F.coalesce("_sub", F.lit(2 * SUBS + 2)))
     # a sub-cell orders rows only among equal scores, so cells with several scores keep one
-    several = dealt.groupBy("_cell").agg((F.min(score) != F.max(score)).alias("_several")).filter("_several").select("_cell", "_several")
+    score_now = F.when(F.col("_v").isNotNull(), F.col(score))
+    several = dealt.groupBy("_cell").agg((F.min(score_now) != F.max(score_now)).alias("_several")).filter("_several").select("_cell", "_several")
     dealt = dealt.join(F.broadcast(several), "_cell", "left").withColumn("_sub", F.when(F.col("_several"), 0).otherwise(F.col("_sub"))).drop("_several")
     counts = dealt.groupBy("_cell", "_sub").agg(F.count("*").alias("_n"))
     before = counts.select("_cell", "_sub", (F.sum("_n").over(Window.orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    order = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
+    order = score_now.desc_nulls_last() if descending else score_now.asc_nulls_last()
     own = F.row_number().over(Window.partitionBy("_cell", "_sub").orderBy(order, F.col(tie).asc_nulls_last()))
-    ranked = dealt.withColumn("_own", own).join(F.broadcast(before), ["_cell", "_sub"])  # (CELLS + 1) * (SUBS + 1) rows at most
+    ranked = dealt.withColumn("_own", own).join(F.broadcast(before), ["_cell", "_sub"])  # (2 * CELLS + 3) * (2 * SUBS + 3) rows at most
     return ranked.select(*df.columns, (F.col("_own") + F.col("_before")).cast("bigint").alias(name))
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbours; NULLs don't count."""
-    some = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    """Exact quantiles with linear interpolation between neighbours; NULL and NaN don't count."""
+    some = df.select(_known(column).alias("v")).filter("v is not null")
     n = some.count()
     if not n:
         return [None for _ in shares]
@@ -50,7 +70,8 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float
     wanted = sorted({int(a) + 1 for a in at} | {min(int(a) + 2, n) for a in at})
     ranked = global_rank(some.withColumn("t", F.monotonically_increasing_id()), "v", "t", descending=False)
     value = {r["rank"]: r["v"] for r in ranked.filter(F.col("rank").isin(wanted)).select("rank", "v").collect()}
-    return [value[int(a) + 1] + (value[min(int(a) + 2, n)] - value[int(a) + 1]) * (a - int(a)) for a in at]
+    between = lambda low, high, part: low if part == 0 or low == high else low + (high - low) * part
+    return [between(value[int(a) + 1], value[min(int(a) + 2, n)], a - int(a)) for a in at]
 
 
 def cumulative_by_score(df: DataFrame, label: str, score: str, weight: str | None = None, keys: Sequence[str] = ()) -> DataFrame:

@@ -20,12 +20,12 @@ def hash_split(df: DataFrame, entity: str, train: float = 0.70, valid: float = 0
 
 
 def group_split(df: DataFrame, entity: str, share: float = 0.2, seed: int = 42, names: tuple[str, str] = ("train", "test"), column: str = "split") -> DataFrame:
-    """``share`` of the entities, rounded up, in the second part: those with the smallest hashes."""
+    """``share`` of the entities, rounded up, in the second part: those with the smallest hashes. Rows without an entity are in the first."""
     groups = df.filter(F.col(entity).isNotNull()).select(entity).distinct().withColumn("_h", portable_hash(F.col(entity), f"{seed}:"))
     ranked = global_rank(groups, "_h", entity, "_rank", descending=False)
     take = math.ceil(share * groups.count())
     parts = ranked.select(entity, F.when(F.col("_rank") <= take, names[1]).otherwise(names[0]).alias(column))
-    return df.join(parts, entity)
+    return df.join(parts, entity, "left").fillna(names[0], [column])
 
 
 def three_way_split(df: DataFrame, entity: str, seed: int = 42) -> DataFrame:
@@ -59,7 +59,10 @@ def bootstrap_weights(df: DataFrame, entity: str, draws: int, seed: int = 42) ->
 
 
 def cluster_bootstrap(df: DataFrame, entity: str, label: str = "label", p: str = "p", draws: int = 500, seed: int = 42) -> DataFrame:
-    """The metrics of each draw. An entity's rows are all taken, as often as it was drawn: as weights, so nothing is copied."""
+    """The metrics of each draw. An entity's rows are all taken, as often as it was drawn.
+
+    Its multiplicity is a weight: a row meets a draw once, if at all, so about 0.63 times ``draws`` rows are summed for each.
+    """
     weights = bootstrap_weights(df, entity, draws, seed)
     rows = df.select(entity, label, p).join(weights, entity)
     return evaluate(rows, label, p, "weight", ["draw"])

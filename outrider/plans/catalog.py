@@ -273,7 +273,7 @@ picks AS (SELECT CAST(floor(id / (SELECT max(n) FROM g)) AS BIGINT) AS draw, CAS
 w AS (SELECT draw, person_id, count(*) AS weight FROM picks JOIN g USING (r) GROUP BY ALL)"""
 
 
-DRAWS = 50
+DRAWS = 500
 
 
 @query(f"WITH {FXS_SQL}, {picks_sql(DRAWS)} SELECT draw, sum(weight)::BIGINT AS rows_drawn, sum(weight * label)::BIGINT AS positives FROM fxs JOIN w USING (person_id) GROUP BY draw")

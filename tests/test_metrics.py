@@ -60,6 +60,15 @@ def test_ranks_and_quantiles_equal_sorting(spark):
         for s, x in zip([0, 0.25, 0.333, 1], q, strict=True):
             at = (len(known) - 1) * s
             assert x == pytest.approx(known[int(at)] + (known[min(int(at) + 1, len(known) - 1)] - known[int(at)]) * (at - int(at)))
+    wild = [float("nan"), float("inf"), -float("inf"), None, 1e12, 0.5]
+    rows = [(k, wild[k % 9] if k % 9 < 6 and k % 5 else k / 1000) for k in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    missing = lambda v: v is None or v != v
+    for down in (True, False):
+        want = sorted(rows, key=lambda r: (missing(r[1]), 0 if missing(r[1]) else (-r[1] if down else r[1]), r[0]))
+        got = {r.id: r["rank"] for r in ordering.global_rank(df, "v", "id", descending=down).collect()}
+        assert [got[i] for i, _ in want] == list(range(1, 901))
+    assert ordering.quantiles(spark.createDataFrame([(0.5,), (float("nan"),), (0.1,), (float("inf"),)], "v double"), "v", [0, 0.5]) == [0.1, 0.5]
     empty = spark.createDataFrame([], "id bigint, v double")
     assert ordering.global_rank(empty, "v", "id").count() == 0 and ordering.quantiles(empty, "v", [0.5]) == [None]
 
@@ -85,6 +94,24 @@ def test_running_sums_over_blocks(spark):
     assert [got[k + 1] for k in range(100)] == [sum(labels[: k + 1]) for k in range(100)]
 
 
+def test_no_cell_has_many_rows(spark):
+    n = 40_000
+    df = spark.range(n).select("id", F.when(F.col("id") == 7, 1e12).when(F.col("id") % 3 == 0, 0.25).otherwise(F.col("id") / n).alias("v"))
+    plan = ordering.global_rank(df, "v", "id")
+    cells, subs = df.agg(F.percentile_approx("v", [k / ordering.CELLS for k in range(1, ordering.CELLS)], 4 * ordering.CELLS), F.percentile_approx("id", [k / ordering.SUBS for k in range(1, ordering.SUBS)], 16 * ordering.SUBS)).first()
+    dealt = ordering._dealt(ordering._dealt(df.withColumn("_t", F.col("id").cast("double")), "v", "_cell", ordering.edges(cells)), "_t", "_sub", ordering.edges(subs))
+    sizes = dealt.groupBy("_cell").agg(F.count("*").alias("n"), F.count_distinct("v").alias("k"))
+    assert sizes.filter("k > 1").agg(F.max("n")).first()[0] <= 20 * n / ordering.CELLS
+    assert dealt.filter("v = 0.25").groupBy("_cell", "_sub").count().agg(F.max("count")).first()[0] <= 3 * n / ordering.SUBS
+    assert plan.filter("id = 7").first()["rank"] == 1
+
+
+def test_rows_without_an_entity_stay(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 6), (4, None)], "id bigint, person bigint")
+    assert {r.id: r.split for r in splits.group_split(df, "person", 0.5).collect() if r.person is None} == {2: "train", 4: "train"}
+    assert splits.three_way_split(df, "person").count() == 4
+
+
 def test_splits_never_share_an_entity(spark):
     df = spark.range(2000).select(F.col("id"), (F.col("id") % 137).alias("person"), (F.col("id") % 2).cast("int").alias("label"))
     for seed in (1, 42):

@@ -49,6 +49,12 @@ def straddling(df: DataFrame, entity: str) -> DataFrame:
     return df.groupBy(entity).agg(F.count_distinct("split").alias("k")).filter("k > 1").agg(F.count("*").alias("straddling"))
 
 
+def manifest(df: DataFrame, entity: str, label: str, seed: int = 42) -> dict:
+    """What a split consists of, for ``write_json``: rows, people and the label's rate of each part, and entities in more than one."""
+    parts = {r["split"]: {"rows": r["rows"], "people": r["people"], "prevalence": r["prevalence"]} for r in split_quality(df, entity, label).collect()}  # a row for each part
+    return {"entity": entity, "label": label, "seed": seed, "parts": parts, "straddling": straddling(df, entity).first()["straddling"]}
+
+
 def bootstrap_weights(df: DataFrame, entity: str, draws: int, seed: int = 42) -> DataFrame:
     """(draw, entity, weight): in each draw as many entities as there are, with replacement; the draw's number for each."""
     groups = global_rank(df.select(entity).distinct().filter(F.col(entity).isNotNull()), entity, entity, "_rank", descending=False)

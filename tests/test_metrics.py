@@ -106,6 +106,18 @@ def test_no_cell_has_many_rows(spark):
     assert plan.filter("id = 7").first()["rank"] == 1
 
 
+def test_manifest(spark, tmp_path):
+    import json
+
+    from outrider.sources.writers import write_json
+
+    df = spark.range(90).select("id", (F.col("id") % 30).alias("person"), (F.col("id") % 2).cast("int").alias("label"))
+    told = splits.manifest(splits.group_split(df, "person", 0.2), "person", "label")
+    assert told["straddling"] == 0 and {k: (v["rows"], v["people"]) for k, v in told["parts"].items()} == {"train": (72, 24), "test": (18, 6)}
+    write_json(told, tmp_path / "manifest.json")
+    assert json.loads((tmp_path / "manifest.json").read_text()) == told
+
+
 def test_rows_without_an_entity_stay(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 6), (4, None)], "id bigint, person bigint")
     assert {r.id: r.split for r in splits.group_split(df, "person", 0.5).collect() if r.person is None} == {2: "train", 4: "train"}

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outrider.functions.scalars import portable_hash, unit_interval
-from outrider.operators.metrics import TOP_FRACTIONS, evaluate
+from outrider.functions.scalars import portable_hash, probability, unit_interval
+from outrider.operators.bootstrap import drawn_sums, picked, ranked_draws
+from outrider.operators.metrics import TOP_FRACTIONS
 from outrider.operators.ordering import cumulative_by_score, global_rank
 
 
@@ -57,27 +58,31 @@ def manifest(df: DataFrame, entity: str, label: str, seed: int = 42) -> dict:
 
 def bootstrap_weights(df: DataFrame, entity: str, draws: int, seed: int = 42) -> DataFrame:
     """(draw, entity, weight): in each draw as many entities as there are, with replacement; the draw's number for each."""
-    groups = global_rank(df.select(entity).distinct().filter(F.col(entity).isNotNull()), entity, entity, "_rank", descending=False)
-    g = groups.count()
-    picks = df.sparkSession.range(draws * g).select((F.col("id") / F.lit(g)).cast("bigint").alias("draw"), (F.floor(unit_interval(F.col("id"), f"{seed}:") * g) + 1).alias("_rank"))
-    counts = picks.groupBy("draw", "_rank").agg(F.count("*").alias("weight"))
-    return counts.join(groups, "_rank").select("draw", entity, "weight")
+    picks = picked(df, entity, draws, seed).select(entity, F.explode("picks").alias("draw"))
+    return picks.groupBy(F.col("draw").cast("bigint").alias("draw"), entity).agg(F.count("*").alias("weight"))
 
 
-def cluster_bootstrap(df: DataFrame, entity: str, label: str = "label", p: str = "p", draws: int = 500, seed: int = 42) -> DataFrame:
-    """The metrics of each draw. An entity's rows are all taken, as often as it was drawn.
+def bootstrap_pointwise(df: DataFrame, entity: str, label: str = "label", p: str = "p", draws: int = 500, seed: int = 42) -> DataFrame:
+    """Rows, rate, mean score, Brier score and log loss of each draw."""
+    return _pointwise(df, entity, label, p, picked(df, entity, draws, seed))
 
-    Its multiplicity is a weight: a row meets a draw once, if at all, so about 0.63 times ``draws`` rows are summed for each.
-    """
-    weights = bootstrap_weights(df, entity, draws, seed)
-    rows = df.select(entity, label, p).join(weights, entity)
-    return evaluate(rows, label, p, "weight", ["draw"])
+
+def _pointwise(df: DataFrame, entity: str, label: str, p: str, picks: DataFrame) -> DataFrame:
+    y, q, s = F.col(label), probability(F.col(p)), F.col(p)
+    sums = {"n": F.count("*"), "prevalence": F.sum(y), "mean_p": F.sum(s), "brier": F.sum((s - y) * (s - y)), "logloss": -F.sum(y * F.log(q) + (1 - y) * F.log(1 - q))}
+    drawn = drawn_sums(df, entity, sums, picks)
+    return drawn.select("draw", "n", *[(F.col(c) / F.col("n")).alias(c) for c in list(sums)[1:]])
+
+
+def cluster_bootstrap(df: DataFrame, entity: str, label: str = "label", p: str = "p", draws: int = 500, seed: int = 42, fractions: Sequence[float] = ()) -> DataFrame:
+    """The metrics of each draw, with ``fractions`` also those of its top. An entity's rows are all taken, as often as it was drawn; none is copied."""
+    picks = picked(df, entity, draws, seed)
+    return _pointwise(df, entity, label, p, picks).join(ranked_draws(df, entity, label, p, draws, picks, fractions), "draw")
 
 
 def bootstrap_top(df: DataFrame, entity: str, label: str = "label", p: str = "p", draws: int = 500, seed: int = 42, fractions: Sequence[float] = TOP_FRACTIONS) -> DataFrame:
     """Captured positives and precision in each draw's top fractions; of rows with the score at the edge a share counts."""
-    rows = df.select(entity, label, p).join(bootstrap_weights(df, entity, draws, seed), entity)
-    return weighted_top(rows, label, p, fractions)
+    return ranked_draws(df, entity, label, p, draws, picked(df, entity, draws, seed), fractions).drop("pr_auc", "roc_auc")
 
 
 def weighted_top(rows: DataFrame, label: str = "label", p: str = "p", fractions: Sequence[float] = TOP_FRACTIONS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outrider.functions import bins, scalars
-from outrider.operators import history, joins, metrics, ordering, profile, splits
+from outrider.operators import bootstrap, history, joins, metrics, ordering, profile, splits
 from outrider.plans import appointments as no_show
 from outrider.plans import encounters as readmission
 from outrider.plans.fixtures import FXA_SQL, FXB_SQL, FXS_SQL, appointments, encounters, scored_events
@@ -279,7 +279,8 @@ DRAWS = 500
 @query(f"WITH {FXS_SQL}, {picks_sql(DRAWS)} SELECT draw, sum(weight)::BIGINT AS rows_drawn, sum(weight * label)::BIGINT AS positives FROM fxs JOIN w USING (person_id) GROUP BY draw")
 def J_04_bootstrap_expansion(spark, d):
     rows = scored_events(spark, d)
-    return rows.join(splits.bootstrap_weights(rows, "person_id", DRAWS), "person_id").groupBy("draw").agg(F.sum("weight").alias("rows_drawn"), F.sum(F.col("weight") * F.col("label")).alias("positives"))
+    sums = {"rows_drawn": F.count("*"), "positives": F.sum("label")}
+    return bootstrap.drawn_sums(rows, "person_id", sums, bootstrap.picked(rows, "person_id", DRAWS))
 
 
 @query(f'WITH {FXA_SQL} SELECT \'race\' AS "column", count(*) FILTER (race IS NULL) AS missing_count, round(avg((race IS NULL)::INT), 6) AS missing_rate FROM fxa UNION ALL SELECT \'num_medications\', count(*) FILTER (num_medications IS NULL), round(avg((num_medications IS NULL)::INT), 6) FROM fxa')
@@ -432,7 +433,7 @@ DRAW_SQL = f"WITH {FXS_SQL}, {picks_sql(DRAWS)}, m AS (SELECT draw, sum(weight *
 @query(DRAW_SQL + " SELECT round(quantile_cont(brier, 0.025), 6) AS low, round(quantile_cont(brier, 0.975), 6) AS high FROM m")
 def A_20_percentile_interval(spark, d):
     rows = scored_events(spark, d)
-    draws = metrics.pointwise_metrics(rows.join(splits.bootstrap_weights(rows, "person_id", DRAWS), "person_id"), "label", "p", "weight", ["draw"])
+    draws = splits.bootstrap_pointwise(rows, "person_id", draws=DRAWS)
     return rounded(draws.agg(F.percentile("brier", F.lit(0.025)).alias("low"), F.percentile("brier", F.lit(0.975)).alias("high")))
 
 
@@ -788,7 +789,7 @@ INTERVAL_COLUMNS = ["pr_auc", "roc_auc", "brier", "logloss", *[f"{m}_top_{f * 10
 def M_09_all_intervals(spark, d):
     """All metrics of the reference's table, with the operators' own 500 draws."""
     rows = scored_events(spark, d)
-    draws = splits.cluster_bootstrap(rows, "person_id").join(splits.bootstrap_top(rows, "person_id"), "draw")
+    draws = splits.cluster_bootstrap(rows, "person_id", fractions=metrics.TOP_FRACTIONS)
     top = splits.weighted_top(rows.withColumns({"draw": F.lit(0), "weight": F.lit(1)})).drop("draw")
     return rounded(splits.intervals(draws, metrics.evaluate(rows).crossJoin(top), INTERVAL_COLUMNS), 5)
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -171,3 +172,46 @@ def test_all_intervals(spark):
         above, at = rows[rows.p > edge], rows[rows.p == edge]
         hits = above.label.sum() + at.label.sum() * (n - len(above)) / len(at)
         assert abs(got[f"captured_top_{k}"].point_estimate - hits) < 2e-5 and abs(got[f"prec_top_{k}"].point_estimate - hits / n) < 2e-5
+
+
+def test_bootstrap_equals_copied_rows(spark):
+    """Ties over many entities, an entity with most rows, missing scores, labels and entities: as if each draw's rows were written out."""
+    from outrider.operators import bootstrap
+
+    rows = [(i, 1 if i % 3 == 0 else 10 + i % 23, None if i % 17 == 0 else int(i % 4 == 0), 0.5 if i % 5 < 2 else None if i % 31 == 0 else float("nan") if i % 37 == 0 else (i * 7 % 1000) / 1000) for i in range(2600)]
+    rows += [(3000, None, 1, 0.9)]
+    df = spark.createDataFrame(rows, "id int, person int, label int, p double")
+    fractions = (0.01, 0.2)
+    got = {r.draw: r for r in splits.cluster_bootstrap(df, "person", draws=9, fractions=fractions).collect()}
+    weights = {(r.draw, r.person): r.weight for r in splits.bootstrap_weights(df, "person", 9).collect()}
+    assert sorted(got) == list(range(9))
+    for d in range(9):
+        steps: dict[float, list[int]] = {}
+        for _, person, label, p in rows:
+            w = weights.get((d, person), 0) if person is not None else 0
+            at = steps.setdefault(p if p is not None and p == p else float("-inf"), [0, 0])
+            at[0] += w
+            at[1] += w * (label or 0)
+        n, pos = (sum(v[k] for v in steps.values()) for k in (0, 1))
+        assert got[d].n == n
+        seen = tp = area = ranks = 0
+        hits = dict.fromkeys(fractions, 0.0)
+        for _, (a, b) in sorted(((k, v) for k, v in steps.items() if v[0]), reverse=True):
+            for f in fractions:
+                hits[f] += b * min(max(max(1, int(f * n)) - seen, 0), a) / a
+            ranks += b * ((n - pos) - (seen - tp) - (a - b) / 2)
+            seen, tp = seen + a, tp + b
+            area += b * tp / seen
+        assert math.isclose(got[d].pr_auc, area / pos) and math.isclose(got[d].roc_auc, ranks / (pos * (n - pos)))
+        assert math.isclose(got[d].captured_top_1, hits[0.01]) and math.isclose(got[d].captured_top_20, hits[0.2])
+    kinds = df.filter("person is not null").withColumn("p", F.when(~F.isnan("p"), F.col("p"))).select("person", "p").distinct().count()
+    for draws in (3, 60):
+        assert bootstrap.steps(df, "person", "label", "p", bootstrap.picked(df, "person", draws)).count() <= kinds
+
+
+def test_bootstrap_of_nothing(spark):
+    empty = spark.createDataFrame([], "person int, label int, p double")
+    assert splits.cluster_bootstrap(empty, "person", draws=4).count() == 0
+    one = spark.createDataFrame([(1, 1, 0.3)], "person int, label int, p double")
+    got = splits.cluster_bootstrap(one, "person", draws=4).collect()
+    assert len(got) == 4 and all(r.pr_auc == 1 and r.roc_auc is None for r in got)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from outrider.contract import Contract
 from outrider.functions.scalars import logit, sigmoid
 from outrider.operators.metrics import evaluate, top_fractions
-from outrider.operators.ordering import quantiles
-from outrider.operators.profile import most_frequent, scaling
+from outrider.operators.ordering import quantiles_of
+from outrider.operators.profile import modes_of, scales_of
 
 
 @dataclass
@@ -36,11 +36,11 @@ class Preparation:
     @classmethod
     def fit(cls, df: DataFrame, contract: Contract, indicators: bool = False, centred: bool = True) -> Preparation:
         numbers = [c for c in contract.feature_cols if c not in contract.categorical_cols]
-        medians = {c: quantiles(df, c, [0.5])[0] or 0.0 for c in numbers}
-        modes = {c: (most_frequent(df, c).first() or [None])[0] or "missing" for c in contract.categorical_cols}
+        medians = {c: v[0] or 0.0 for c, v in quantiles_of(df, numbers, [0.5]).items()}
+        modes = {c: v if v is not None else "missing" for c, v in modes_of(df, contract.categorical_cols).items()}
         filled = df.fillna(medians, subset=numbers) if numbers else df
-        scales = {c: scaling(filled, c).first() for c in numbers}
-        return cls(medians, modes, {c: (s["mean"] or 0.0) for c, s in scales.items()}, {c: (s["std"] or 1.0) for c, s in scales.items()}, indicators, centred)
+        scales = scales_of(filled, numbers)
+        return cls(medians, modes, {c: (mean or 0.0) for c, (mean, _) in scales.items()}, {c: (std or 1.0) for c, (_, std) in scales.items()}, indicators, centred)
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Imputed and scaled columns beside the original ones: ``_x_`` numbers, ``_c_`` categories, ``_m_`` whether one was missing."""

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def missing_mask(df: DataFrame, c: str) -> Column:
@@ -98,3 +99,22 @@ def most_frequent(df: DataFrame, column: str) -> DataFrame:
 def scaling(df: DataFrame, column: str) -> DataFrame:
     """Mean and population deviation."""
     return df.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+
+
+def modes_of(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    """``most_frequent`` of several columns in one pass, as text; None for a column without values."""
+    if not columns:
+        return {}
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    held = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"), (F.col(c) if c in numbers else F.lit(None)).cast("double").alias("x")) for c in columns]
+    counts = df.select(F.explode(F.array(*held)).alias("r")).select("r.*").filter("v is not null").groupBy("c", "v", "x").agg(F.count("*").alias("n"))
+    found = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("x"), F.col("v"))).alias("mode"))
+    return dict.fromkeys(columns) | {r["c"]: r["mode"] for r in found.collect()}  # a row for each column
+
+
+def scales_of(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
+    """``scaling`` of several columns in one pass."""
+    if not columns:
+        return {}
+    row = df.agg(*[f for c in columns for f in (F.avg(c), F.stddev_pop(c))]).first()
+    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}

@@ -215,3 +215,35 @@ def test_bootstrap_of_nothing(spark):
     one = spark.createDataFrame([(1, 1, 0.3)], "person int, label int, p double")
     got = splits.cluster_bootstrap(one, "person", draws=4).collect()
     assert len(got) == 4 and all(r.pr_auc == 1 and r.roc_auc is None for r in got)
+
+
+def test_quantiles_of_several_columns(spark):
+    """Outliers of many magnitudes, ties, infinite and missing values, the largest and the smallest doubles."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n = 1501
+    columns = {
+        "even": rng.random(n), "ties": rng.integers(0, 3, n) * 1.0, "one": np.full(n, -2.5), "far": np.append(rng.random(n - 1), 1e300),
+        "magnitudes": 10.0 ** -np.arange(n, dtype=float).clip(0, 320), "ends": np.append(rng.normal(size=n - 4), [np.inf, -np.inf, 1.7e308, -1.7e308]), "tiny": rng.integers(0, 9, n) * 5e-324,
+    }
+    rows = [tuple(float(v[i]) for v in columns.values()) + (float("nan") if i % 2 else None,) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "missing"])).repartition(5)
+    shares = [0, 0.1, 0.5, 0.975, 1]
+    got = ordering.quantiles_of(df, [*columns, "missing"], shares)
+    assert got.pop("missing") == [None] * 5
+    for c, v in columns.items():
+        ordered = sorted(v.tolist())
+        for s, q in zip(shares, got[c], strict=True):
+            k, part = int((n - 1) * s), (n - 1) * s % 1
+            low, high = ordered[k], ordered[min(k + 1, n - 1)]
+            assert q == (low if part == 0 or low == high else low + (high - low) * part), (c, s)
+    assert ordering.quantiles_of(df, [], shares) == {}
+
+
+def test_modes_of_several_columns(spark):
+    from outrider.operators import profile
+
+    df = spark.createDataFrame([("b", 10, None), ("a", 9, None), ("b", 10, None), ("a", 9, None), (None, 11, None)], "s string, n int, void string")
+    assert profile.modes_of(df, ["s", "n", "void"]) == {"s": "a", "n": "9", "void": None}
+    assert profile.scales_of(df, ["n"])["n"][0] == 9.8 and profile.modes_of(df, []) == {} and profile.scales_of(df, []) == {}

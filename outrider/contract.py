@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from outrider.functions.scalars import number_of
 from outrider.operators.profile import missingness
 from outrider.sources.readers import read_json
-from outrider.sources.writers import write_json
+from outrider.sources.writers import write_csv, write_json
 
 #: Columns that give the label away.
 DENIED = ("readmitted", "y_readmit_30", "outcome", "target")
@@ -59,6 +59,14 @@ class Contract:
         held = read_json(path)
         return cls(**{k: v for k, v in held.items() if k in cls.__dataclass_fields__})
 
+    def export(self, df: DataFrame, folder: str | Path, rows: int = 5) -> None:
+        """``contract.json``, and ``input_example``, the ids and features of the ``rows`` smallest ids, as scoring takes them."""
+        require_columns(df, [*self.required_ids, *self.feature_cols])
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        self.save(Path(folder) / "contract.json")
+        example = df.select(*self.required_ids, *self.feature_cols).orderBy(*self.required_ids).limit(rows)
+        write_csv(example, str(Path(folder) / "input_example"), single=True)
+
     def select(self, df: DataFrame, *more: str) -> DataFrame:
         """Ids, label, treatment, ``more`` and the features, as far as the table has them."""
         names = [*self.required_ids, self.label_col, self.treatment_col, *more, *self.feature_cols]

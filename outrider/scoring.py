@@ -74,7 +74,7 @@ def score_file(spark: SparkSession, root: str | Path, source: str, output: str |
     tops = {}
     for f in fractions:
         name = str(target / f"ranked_top_{int(f * 100)}pct")
-        write_csv(done.filter(F.col("rank") <= max(1, int(f * n))).orderBy("rank"), name, single=True)
+        write_csv(done.filter(F.col("rank") <= max(1, int(f * n))).orderBy("rank"), name)
         tops[str(f)] = name
     told = summary(done, held, run, mode, source, {"scored_csv": str(target / "scored"), "topk_files": list(tops.values())}, key, fractions)
     write_json(told, target / "summary.json")

@@ -9,6 +9,9 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from outrider.operators.ordering import global_rank
 
 
 def replace_table(df: DataFrame, name: str) -> DataFrame:
@@ -26,6 +29,15 @@ def replace_in_place(df: DataFrame, folder: str, name: str) -> DataFrame:
     return out
 
 
+def replace_stored(df: DataFrame, name: str) -> DataFrame:
+    """A stored table replaced by ``df``, which may read it: the new one is written beside it before it goes and takes its name."""
+    spark, beside = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.saveAsTable(beside)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+    return spark.table(name)
+
+
 def replace_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
@@ -40,9 +52,11 @@ def append_row(spark: SparkSession, name: str, schema: str, row: Sequence[Any])
     spark.createDataFrame([tuple(row)], schema).write.mode("append").insertInto(name)
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """Text with a header. ``single`` gathers everything in one file, for results known to be small."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, single: bool = False, index_by: str | None = None) -> None:
+    """Text with a header, quotes doubled. ``single`` gathers everything in one file, for results known to be small; ``index_by`` puts the rows' number by that numeric column, from 0, first."""
+    if index_by:
+        df = global_rank(df, index_by, index_by, "_i", descending=False).select((F.col("_i") - 1).alias("index"), *df.columns)
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(obj: Any, path: str | Path) -> None:

@@ -138,6 +138,7 @@ def test_tables_views_and_audit(spark, tmp_path):
     assert "kept_rows" in readers.table_names(spark)
     assert readers.table_info(df)[0][:2] == ("k", "int")
     assert readers.scalar(spark.sql("SELECT max(k) FROM kept_rows WHERE k < :top", args={"top": 9})) == 1
+    assert spark.sql("SELECT sum(v) AS s FROM {rows}", rows=df).first().s == -2
     writers.write_report(tmp_path / "r.md", "Report", {"Rows": writers.records(df), "Note": "text"})
     assert "| k | v |" in (tmp_path / "r.md").read_text()
     (tmp_path / "b").mkdir()
@@ -164,3 +165,44 @@ def test_streams(spark, tmp_path):
     q = event_rates(stream).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sum(r.n for r in spark.table("rates").collect()) == 10
+
+
+def test_contract_export_gives_an_input_that_passes(spark, tmp_path):
+    df = rows_for_models(spark, 40)
+    CONTRACT.export(df, tmp_path / "out", 3)
+    held = Contract.load(tmp_path / "out" / "contract.json")
+    example = readers.read_text_columns(spark, str(tmp_path / "out" / "input_example"))
+    assert held == CONTRACT and sorted(r["encounter_id"] for r in example.collect()) == ["0", "1", "2"]
+    assert validate(example, held, "score").rows.count() == 3
+    with pytest.raises(ValueError, match="missing"):
+        CONTRACT.export(df.drop("x"), tmp_path / "no")
+
+
+def test_stored_table_replaced_from_itself(spark):
+    name = "stored_rows"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    writers.replace_stored(spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string"), name)
+    kept = writers.replace_stored(spark.table(name).filter("v is not null"), name)
+    assert sorted(r.k for r in kept.collect()) == [1, 3] and sorted(r.k for r in spark.table(name).collect()) == [1, 3]
+    assert [t for t in readers.table_names(spark) if t.startswith(name)] == [name]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_csv_round_trips(spark, tmp_path):
+    df = spark.createDataFrame([(30, "x,y"), (10, None), (20, 'say "so"')], "k int, v string").repartition(3)
+    for single in (False, True):
+        writers.write_csv(df, str(tmp_path / "plain"), single)
+        back = readers.read_text_columns(spark, str(tmp_path / "plain"))
+        assert sorted((int(r.k), r.v or "") for r in back.collect()) == [(10, ""), (20, 'say "so"'), (30, "x,y")]
+    writers.write_csv(df, str(tmp_path / "indexed"), index_by="k")
+    back = readers.read_text_columns(spark, str(tmp_path / "indexed"))
+    assert back.columns == ["index", "k", "v"] and sorted((r["index"], r.k) for r in back.collect()) == [("0", "10"), ("1", "20"), ("2", "30")]
+
+
+def test_prior_counts_of_missing_entities_and_dates(spark):
+    from outrider.operators.history import with_prior_count
+
+    rows = [(i, None if i % 3 == 0 else i % 2, None if i % 5 == 0 else f"2024-01-0{1 + i % 4}") for i in range(60)]
+    got = with_prior_count(spark.createDataFrame(rows, "id int, who int, day string"), "who", "day", "id", "before").collect()
+    key = lambda r: (r[2] is None, r[2] or "", r[0])
+    assert {r.id: r.before for r in got} == {r[0]: sum(o[1] == r[1] and key(o) < key(r) for o in rows) for r in rows}

@@ -81,3 +81,54 @@ def test_held_out_texts_are_likelier_than_by_single_words(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     out = lm.score_documents(docs, held).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert out[0] > out[1]
+
+
+def words_of(text):
+    return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))]
+
+
+def in_logs(hmm, symbols):
+    """log10 of a sequence's probability, by sums of logarithms over the states."""
+    with np.errstate(divide="ignore"):
+        start, step, emit = np.log(hmm.start), np.log(hmm.step), np.log(hmm.emit)
+    alpha = start + emit[symbols[0]]
+    for x in symbols[1:]:
+        alpha = np.logaddexp.reduce(alpha[:, None] + step, axis=0) + emit[x]
+    return np.logaddexp.reduce(alpha) / math.log(10)
+
+
+@pytest.mark.parametrize("head", [65_536, 6])
+def test_scores_equal_a_forward_pass_over_the_words(spark, docs, monkeypatch, head):
+    """The trained model's score, from the texts: words without a symbol of their own have a share of their class."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    held_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    free = next(i for i in range(10_000, 20_000) if held_out(i))
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None] + [(free, "neverseen words\u00fcber qqzz neverseen")]
+    got = {}
+    train, summary = lm.train, lm.summary
+    monkeypatch.setattr(lm, "train", lambda *a, **k: got.setdefault("hmm", train(*a, **k)))
+    monkeypatch.setattr(lm, "summary", lambda *a: got.setdefault("known", summary(*a)))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), held, rounds=2).collect()
+    c = Counter(w for i, t in rows if not held_out(i) for w in words_of(t))
+    own = {w: k for k, w in enumerate(got["known"].words[: lm.OWN])}
+    assert len(own) <= head and (head > 6 or len(own) < len(c)) and all(c[w] >= 1 for w in own)
+    tokens, kinds = Counter(), Counter()
+    for w, n in c.items():
+        if w not in own:
+            tokens[lm.word_class(w)] += n
+            kinds[lm.word_class(w)] += 1
+    share = lambda w: 1.0 if w in own else (c[w] + 1) / (tokens[lm.word_class(w)] + kinds[lm.word_class(w)] + 1)
+    symbol = lambda w: own.get(w, lm.word_class(w))
+
+    def brute(text):
+        words = words_of(text)
+        return in_logs(got["hmm"], [*map(symbol, words), lm.END]) + sum(math.log10(share(w)) for w in words)
+
+    want = sorted((i, brute(t)) for i, t in rows)
+    for a, b in zip(sorted((r.doc_id, r.score) for r in scored), want, strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-8, abs_tol=1e-8)
+    for k in set(tokens):  # a class's words, and one more for all unseen ones
+        members = [w for w in c if w not in own and lm.word_class(w) == k]
+        assert math.isclose(sum(map(share, members)) + 1 / (tokens[k] + kinds[k] + 1), 1)
+    assert np.allclose(got["hmm"].emit.sum(0), 1) and np.allclose(got["hmm"].step.sum(1), 1) and math.isclose(got["hmm"].start.sum(), 1)

@@ -120,14 +120,16 @@ def _binned(v: Column, parts: Sequence[tuple], bins: int, whole: bool) -> Column
 
 
 def cumulative_by_score(df: DataFrame, label: str, score: str, weight: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """For each distinct score, from the highest: ``pos`` and ``n`` (weights with that score), ``tp`` and ``seen`` (with that or a higher one), and the totals ``all_pos`` and ``all_n``."""
+    """For each distinct score, from the highest: ``pos`` and ``n`` (weights with that score), ``tp`` and ``seen`` (with that or a higher one), and the totals ``all_pos`` and ``all_n``. NULL and NaN scores are the last one, NULL."""
     w = F.col(weight) if weight else F.lit(1)
-    per = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.sum(w * F.col(label)).cast("double").alias("pos"), F.sum(w).cast("double").alias("n"))
-    per = per.withColumn("_cell", F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor(F.col("score") * CELLS))).cast("int"))
+    per = df.groupBy(*keys, _known(score).alias("score")).agg(F.sum(w * F.col(label)).cast("double").alias("pos"), F.sum(w).cast("double").alias("n"))
+    at = edges(df.agg(F.percentile_approx(_known(score), [k / CELLS for k in range(1, CELLS)], 4 * CELLS)).first()[0])
+    last = 2 * CELLS + 2
+    per = _dealt(per, "score", "_up", at).withColumn("_cell", F.coalesce(last - F.col("_up"), F.lit(last + 1))).drop("_up")
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    down = whole.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, 0)
+    down = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = per.groupBy(*keys, "_cell").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
     cells = cells.select(*keys, "_cell", (F.sum("_p").over(down) - F.col("_p")).alias("_tp"), (F.sum("_n").over(down) - F.col("_n")).alias("_seen"), F.sum("_p").over(whole).alias("all_pos"), F.sum("_n").over(whole).alias("all_n"))
-    inside = Window.partitionBy(*keys, "_cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(F.desc_nulls_last("score")).rowsBetween(Window.unboundedPreceding, 0)
     out = per.join(cells, [*keys, "_cell"])
     return out.select(*keys, "score", "pos", "n", (F.sum("pos").over(inside) + F.col("_tp")).alias("tp"), (F.sum("n").over(inside) + F.col("_seen")).alias("seen"), "all_pos", "all_n")

@@ -66,7 +66,8 @@ def score_file(spark: SparkSession, root: str | Path, source: str, output: str |
     held = validate(raw, contract, mode)
     key = contract.required_ids[0]
     rows = held.rows.withColumns({c: F.col(c).try_cast("bigint") for c in contract.required_ids})
-    done = ranked(scored(rows, Model.load(spark, str(paths.model)), Platt.load(paths.calibration)).cache(), key).cache()
+    given = scored(rows, Model.load(spark, str(paths.model)), Platt.load(paths.calibration)).cache()
+    done = ranked(given, key).cache()
     target = Path(output or paths.outputs)
     target.mkdir(parents=True, exist_ok=True)
     n = done.count()
@@ -82,6 +83,8 @@ def score_file(spark: SparkSession, root: str | Path, source: str, output: str |
     if write_table:
         replace_table(done, "scored_latest")
         append_row(spark, "scored_runs", AUDIT, (run, datetime.now(timezone.utc).isoformat(timespec="seconds"), source, mode, n, held.schema_hash, json.dumps(held.warnings)))
+    done.unpersist()
+    given.unpersist()
     return told
 
 

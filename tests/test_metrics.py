@@ -247,3 +247,16 @@ def test_modes_of_several_columns(spark):
     df = spark.createDataFrame([("b", 10, None), ("a", 9, None), ("b", 10, None), ("a", 9, None), (None, 11, None)], "s string, n int, void string")
     assert profile.modes_of(df, ["s", "n", "void"]) == {"s": "a", "n": "9", "void": None}
     assert profile.scales_of(df, ["n"])["n"][0] == 9.8 and profile.modes_of(df, []) == {} and profile.scales_of(df, []) == {}
+
+
+def test_running_counts_of_crowded_and_missing_scores(spark):
+    """Scores crowded near 0, outside of [0, 1], and missing ones, which come last; windows within cells stay small."""
+    rows = [(k, None if k % 50 == 0 else float("nan") if k % 50 == 1 else 3.0 if k % 50 == 2 else k * 1e-9, int(k % 3 == 0)) for k in range(4000)]
+    out = ordering.cumulative_by_score(spark.createDataFrame(rows, "id int, p double, label int"), "label", "p").collect()
+    seen = tp = 0
+    order = sorted(out, key=lambda r: (r.score is None, -(r.score or 0)))
+    for r in order:
+        mine = [x for x in rows if (x[1] is None or x[1] != x[1] if r.score is None else x[1] == r.score)]
+        seen, tp = seen + len(mine), tp + sum(x[2] for x in mine)
+        assert (r.n, r.seen, r.tp, r.all_n) == (len(mine), seen, tp, 4000)
+    assert order[-1].score is None and order[0].score == 3.0

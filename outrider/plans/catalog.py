@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +10,13 @@ from outrider.operators import bootstrap, history, joins, metrics, ordering, pro
 from outrider.plans import appointments as no_show
 from outrider.plans import encounters as readmission
 from outrider.plans.fixtures import FXA_SQL, FXB_SQL, FXS_SQL, appointments, encounters, scored_events
+from outrider.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from outrider.sources.readers import inline, read_table, registered
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 SMALL_GROUP = 600
 COVARIATES = {"mean_age": "age", "mean_lead": "lead_time_days", "scholarship_rate": "scholarship", "hipertension_rate": "hipertension"}
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, as sums depend on their order; dates as text, as engines hand them over differently."""
     return df.select(*[F.round(F.col(c), places).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,3 +19,14 @@ def build_session(app: str = "outrider", master: str | None = None, **more: str)
     """A session with UTC times and adaptive execution; ``more`` are further settings."""
     builder = SparkSession.builder.appName(app).config(map={**SETTINGS, **more})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for files that the driver and all executors read: under ``spark.checkpoint.dir``, which a cluster must set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='outrider-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from outrider.plans import catalog
+from outrider.plans import catalog, round_trips  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

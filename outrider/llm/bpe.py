@@ -1,10 +1,13 @@
 """Byte-level BPE in batched numpy merge rounds, and back.
 
-A batch's distinct words lie in one flat array of symbols. In a round, the rank of every adjacent
-pair is found by binary search over the sorted pair keys, each word merges all places of its
-lowest-ranked pair, and words without any pair that could merge leave the array. Since a merge's
-result only takes part in merges of higher rank, merging all places of a pair in one round gives
-what merging one place at a time gives.
+A batch's distinct words lie in one flat array of symbols. In a round, the rank of every new
+adjacent pair is found by binary search over the sorted pair keys, all places merge whose pair has
+the lowest rank of all that could touch it, and words without any pair that could merge leave the
+array. Since a merge's result only takes part in merges of higher rank, merging all places of a pair
+in one round gives what merging one place at a time gives. What could touch a place lies within the
+length of the longest token that merges of lower rank make: to take one of its two symbols first, a
+neighbour has to be such a token, and to grow it needs a pair of lower rank in its own span. In a
+word no longer than the longest token that is the whole word; a longer one merges in many places at once.
 
 Cases: a null text is empty and has no ids; an empty table gives an empty result; repeated rows are
 encoded alike; texts are split only for memory, at places where no word crosses; other columns stay
@@ -14,7 +17,6 @@ unread.
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -27,8 +29,6 @@ from pyspark.sql import DataFrame
 from outrider.llm.common import small_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer words are merged one pair at a time, with a heap, as rounds over them would be many.
-ROUND_BYTES = 2048
 #: Words that are remembered from batch to batch, at most, and the bytes of text in a batch.
 REMEMBERED, SLICE = 300_000, 1_000_000
 NONE = np.iinfo(np.int64).max
@@ -60,11 +60,12 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.results = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.by_pair = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lengths = np.array([len(t) for t in self.token_bytes], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        #: By rank, the length of the longest token that merges of lower rank make.
+        self.reach = np.maximum.accumulate(np.append(2, self.lengths[self.results])[: len(self.results)])
         self.flat_bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self._forget()
 
@@ -77,65 +78,65 @@ class ByteBpe:
         count = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words)), count)
         sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        long = np.flatnonzero(count > ROUND_BYTES)
+        rank = self._ranked(word, sym, np.arange(len(sym)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(long):
-            starts = np.cumsum(count) - count
-            for k in long.tolist():
-                own = self._one_by_one(sym[starts[k] : starts[k] + count[k]].tolist())
-                done.append((np.full(len(own), k), np.array(own, np.int64)))
-            rest = count[word] <= ROUND_BYTES
-            word, sym = word[rest], sym[rest]
-        while len(sym) > 1:
-            key = sym[:-1] * self.size + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], NONE)
-            rank = np.append(rank, NONE)
+        while len(sym):
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            sizes = np.diff(np.append(first, len(word)))
             least = np.minimum.reduceat(rank, first)
-            spread = np.repeat(least, np.diff(np.append(first, len(word))))
-            live = spread != NONE
+            live = np.repeat(least != NONE, sizes)
             if not live.all():
                 done.append((word[~live], sym[~live]))
-                if not live.any():
-                    sym = sym[:0]
+                word, sym, rank, sizes, least = word[live], sym[live], rank[live], sizes[least != NONE], least[least != NONE]
+                if not len(sym):
                     break
-                word, sym, rank, spread = word[live], sym[live], rank[live], spread[live]
-            place = np.flatnonzero(rank == spread)
+            lowest = np.repeat(least, sizes)
+            wide = np.repeat(sizes > self.reach[-1], sizes)
+            if wide.any():
+                lowest[wide] = self._lowest_nearby(rank[wide])
+            place = np.flatnonzero(rank == lowest)
             fresh = np.append(True, np.diff(place) != 1)
             run = place[np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))]
-            place = place[(place - run) % 2 == 0]
+            whole = (run == 0) | (rank[run - 1] != rank[run])  # a run that begins further left, where it isn't settled yet, waits
+            place = place[whole & ((place - run) % 2 == 0)]
             sym[place] = self.results[rank[place]]
             keep = np.ones(len(sym), bool)
             keep[place + 1] = False
-            word, sym = word[keep], sym[keep]
-        done.append((word[: len(sym)], sym))
+            word, sym, rank = word[keep], sym[keep], rank[keep]
+            fresh_at = place - np.arange(len(place))  # of the places before it each has lost one symbol
+            changed = np.concatenate([fresh_at, fresh_at[fresh_at > 0] - 1])
+            rank[changed] = self._ranked(word, sym, changed)
+        if not done:
+            return sym, np.bincount(word, minlength=len(words))
         word, sym = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
         return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
-    def _one_by_one(self, sym: list[int]) -> list[int]:
-        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(sym) and (r := self.by_pair.get(sym[i] * self.size + sym[j])) is not None:
-                heapq.heappush(heap, (r, i, sym[i], sym[j]))
-
-        for i in range(len(sym) - 1):
-            offer(i)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j >= len(sym) or sym[j] != b:
-                continue
-            sym[i], sym[j], after[i] = int(self.results[r]), -1, after[j]
-            if after[i] < len(sym):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [s for s in sym if s >= 0]
+    def _ranked(self, word: np.ndarray, sym: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of the pair that begins at each place; NONE where there is none."""
+        after = np.minimum(at + 1, len(sym) - 1)
+        key = sym[at] * self.size + sym[after]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[found] == key) & (word[at] == word[after]) & (after != at), self.ranks[found], NONE)
+
+    def _lowest_nearby(self, rank: np.ndarray) -> np.ndarray:
+        """The least rank within reach of each place that is below neither neighbour; -1 at other places and those without a pair.
+
+        Minima of windows as long as a power of two are made one from the other; two of them cover any reach.
+        """
+        ends = np.concatenate([[NONE], rank, [NONE]])
+        at = np.flatnonzero((rank != NONE) & (rank <= ends[:-2]) & (rank <= ends[2:]))
+        low = np.maximum(at - self.reach[rank[at]], 0)
+        high = np.minimum(at + self.reach[rank[at]] + 1, len(rank))
+        level, found = np.log2(high - low).astype(np.int64), np.empty(len(at), np.int64)
+        least = np.minimum(rank, np.iinfo(np.int32).max).astype(np.int32)
+        for k in range(int(level.max(initial=0)) + 1):
+            if k:
+                least = np.minimum(least[: -(1 << k - 1)], least[1 << k - 1 :])
+            own = level == k
+            found[own] = np.minimum(least[low[own]], least[high[own] - (1 << k)])
+        out = np.full(len(rank), -1, np.int64)
+        out[at] = found
+        return out
 
     def _learn(self, fresh: list[str]) -> None:
         if len(self.known) + len(fresh) > REMEMBERED:

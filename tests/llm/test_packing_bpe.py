@@ -26,6 +26,28 @@ def test_merge_rounds_equal_the_library():
     assert (fast == ids).all() and (m == n).all()
 
 
+def test_long_words_merge_in_rounds():
+    random.seed(6)
+    coder = bpe.ByteBpe(bpe.read_spec(PATH))
+    common = ["a", "b", "ab", "the", "ing", "tion", "er", "x", "aaa", "th", "zq"]
+    words = [
+        "a" * 40_001,
+        "ab" * 9_000 + "a",
+        "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=60_000)),
+        "".join(random.choices("aab", k=20_000)),
+        "".join(random.choices(common, k=12_000)),
+        "".join(random.choices("中文字符語言", k=9_000)),
+        "".join(random.choices("0123456789", k=9_000)),
+        "=-" * 7_000 + "=" * 5_001,
+        " " * 30_000,
+        *["".join(random.choices(random.sample(common, 3), k=random.randrange(100, 900))) for _ in range(300)],
+    ]
+    ids, n = coder.encode(words)
+    ends = np.cumsum(n)
+    for text, low, high in zip(words, ends - n, ends, strict=True):
+        assert ids[low:high].tolist() == REAL.encode(text, add_special_tokens=False).ids
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 40)
     coder = bpe.ByteBpe(bpe.read_spec(PATH))

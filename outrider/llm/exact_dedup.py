@@ -15,7 +15,7 @@ and the text are never read, so their names can't clash.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,9 @@ DIGEST = 32
 #: Digests in a bucket, on average; bounds the memory of a task.
 BUCKET = 20_000
 INDEX = "bucket int, levels array<int>, bits binary, digests binary, ids array<bigint>, rows array<bigint>, counts array<bigint>"
+INDEX_NAMES = ["bucket", "levels", "bits", "digests", "ids", "rows", "counts"]
 WINNERS = "digest binary, keep_id bigint, keep_row bigint, group_size bigint, historical boolean"
+WINNER_NAMES = ["digest", "keep_id", "keep_row", "group_size", "historical"]
 
 
 def _mixed(words: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -68,46 +70,58 @@ def lookup_mph(words: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndar
     return slot
 
 
-def _words(digests) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), "<u8").reshape(-1, DIGEST // 8)
+def _words(digests: bytes) -> np.ndarray:
+    return np.frombuffer(digests, "<u8").reshape(-1, DIGEST // 8) if digests else np.zeros((0, DIGEST // 8), np.uint64)
 
 
-def _index(frame: pd.DataFrame) -> pd.DataFrame:
-    words = _words(frame["digest"])
+def _binary(words: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(words) + 1, dtype=np.int32) * DIGEST
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words.tobytes())])
+
+
+def _locators(ids: pa.Array, rows: pa.Array, counts: pa.Array) -> list[np.ndarray]:
+    """Whether there is an id, the id (0 for none), the row and the number of rows."""
+    return [np.array(ids.is_valid()), np.array(ids.fill_null(0)), np.array(rows), np.array(counts)]
+
+
+def _index(groups: pa.Table) -> pa.Table:
+    groups = groups.combine_chunks()
+    words = _words(b"".join(groups["digest"].to_pylist()))
     sizes, bits, slot = build_mph(words)
-    order = np.argsort(slot)
-    ids = [None if pd.isna(x) else int(x) for x in frame["keep_id"].to_numpy(dtype=object)[order]]
-    row = {"bucket": int(frame["bucket"].iloc[0]), "levels": sizes, "bits": np.packbits(bits).tobytes(), "digests": words[order].tobytes(), "ids": ids}
-    return pd.DataFrame([row | {"rows": frame["keep_row"].to_numpy()[order], "counts": frame["n"].to_numpy()[order]}])
+    order = pa.array(np.argsort(slot))
+    listed = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), groups[c].combine_chunks().take(order)) for c in ("keep_id", "keep_row", "n")]
+    row = [groups["bucket"][:1].combine_chunks(), pa.array([sizes], pa.list_(pa.int32())), pa.array([np.packbits(bits).tobytes()]), pa.array([words[order].tobytes()]), *listed]
+    return pa.table(row, INDEX_NAMES)
 
 
 def build_history(groups: DataFrame) -> DataFrame:
     """The history's index: a row for each bucket with its hash and its slots."""
-    return groups.groupBy("bucket").applyInPandas(_index, INDEX)
-
-
-def _looked_up(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    def best(a, b):
-        return max(a, b, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-
-    fresh = [(None if pd.isna(i) else int(i), int(r), int(n)) for i, r, n in zip(new["keep_id"].astype(object), new["keep_row"], new["n"], strict=True)]
-    if not len(index):
-        return pd.DataFrame([(d, i, r, n, False) for d, (i, r, n) in zip(new["digest"], fresh, strict=True)], columns=["digest", "keep_id", "keep_row", "group_size", "historical"]).astype({"keep_id": "Int64"})
-    old = index.iloc[0]
-    sizes, slots = [int(x) for x in old["levels"]], _words([old["digests"]])
-    bits = np.unpackbits(np.frombuffer(old["bits"], np.uint8), count=sum(sizes)).astype(bool)
-    held = [(None if pd.isna(i) else int(i), int(r), int(n)) for i, r, n in zip(list(old["ids"]), old["rows"], old["counts"], strict=True)]
-    rest = []
-    if len(new):
-        words = _words(new["digest"])
-        slot = lookup_mph(words, sizes, bits)
-        member = (slot >= 0) & (slots[slot] == words).all(axis=1)
-        for k in np.flatnonzero(member):
-            (i, r, n), s = fresh[k], slot[k]
-            held[s] = (*best(held[s][:2], (i, r)), held[s][2] + n)
-        rest = [(new["digest"].iloc[k], *fresh[k], False) for k in np.flatnonzero(~member)]
-    found = [(slots[k].tobytes(), *x, True) for k, x in enumerate(held)]
-    return pd.DataFrame(found + rest, columns=["digest", "keep_id", "keep_row", "group_size", "historical"]).astype({"keep_id": "Int64"})
+    return groups.groupBy("bucket").applyInArrow(_index, INDEX)
+
+
+def _winners(words: np.ndarray, known: np.ndarray, ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, historical: bool) -> pa.Table:
+    return pa.table([_binary(words), pa.array(ids, mask=~known), pa.array(rows), pa.array(counts), pa.array(np.full(len(words), historical))], WINNER_NAMES)
+
+
+def _looked_up(new: pa.Table, index: pa.Table) -> pa.Table:
+    """The history's digests with the better locator and all their rows, and the new digests that it lacks."""
+    words = _words(b"".join(new["digest"].to_pylist()))
+    fresh = _locators(*(new[c].combine_chunks() for c in ("keep_id", "keep_row", "n")))
+    if not index.num_rows:
+        return _winners(words, *fresh, False)
+    old = index.slice(0, 1).combine_chunks()
+    sizes, slots = old["levels"][0].as_py(), _words(old["digests"][0].as_py())
+    bits = np.unpackbits(np.frombuffer(old["bits"][0].as_py(), np.uint8), count=sum(sizes)).astype(bool)
+    held = [x.copy() for x in _locators(*(old[c].combine_chunks().flatten() for c in ("ids", "rows", "counts")))]
+    slot = lookup_mph(words, sizes, bits)
+    member = (slot >= 0) & (slots[slot] == words).all(axis=1)
+    at = slot[member]  # distinct, as the digests are
+    (has, key, row, n), (had, was, had_row, had_n) = [x[member] for x in fresh], [x[at] for x in held]
+    better = (has > had) | ((has == had) & ((key > was) | ((key == was) & (row > had_row))))
+    for kept, ours, theirs in zip(held, (has, key, row), (had, was, had_row), strict=False):
+        kept[at] = np.where(better, ours, theirs)
+    held[3][at] = had_n + n
+    return pa.concat_tables([_winners(slots, *held, True), _winners(words[~member], *(x[~member] for x in fresh), False)])
 
 
 def exact_dedup(docs: DataFrame, historical: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +145,7 @@ def exact_dedup(docs: DataFrame, historical: Column, id_col: str = "doc_id", tex
         .select("old", "digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket"))
     )
     index = build_history(groups.filter("old").drop("old"))
-    winners = groups.filter("not old").drop("old").groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_looked_up, WINNERS)
+    winners = groups.filter("not old").drop("old").groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_looked_up, WINNERS)
     out = keyed.join(winners, "digest")
     return out.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "historical")
 

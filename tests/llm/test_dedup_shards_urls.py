@@ -50,6 +50,15 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.keep_exact(empty, split).count() == 0
 
 
+def test_exact_dedup_keeps_all_digits_of_ids(spark):
+    rows = [(2**60 + 1, "a"), (2**60 + 2, "A"), (None, "a"), (None, None), (2**60 + 3, "b"), (-(2**62) - 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for history in (F.lit(True), F.lit(False), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))):
+        got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, history).collect())
+        most = 2**60 + 2
+        assert got == Counter([(2**60 + 1, most, 3, False), (most, most, 3, True), (None, most, 3, False), (None, -(2**62) - 1, 2, False), (-(2**62) - 1, -(2**62) - 1, 2, True), (2**60 + 3, 2**60 + 3, 1, True)])
+
+
 def walked(counts, shards, nodes):
     """The ring walked row by row: at home first, then clockwise."""
     positions = sharding.ring_positions(shards, nodes)

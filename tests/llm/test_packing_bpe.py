@@ -127,3 +127,12 @@ def test_pack(docs, empty):
     own = sorted((r.start, r.ids) for r in rows if r.doc_id == 5)
     assert [i for _, ids in own for i in ids] == [*REAL.encode(text, add_special_tokens=False).ids, 0]
     assert packing.pack(packing.token_pieces(empty, PATH, 64), 64).count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(k, f"some text {k}", "x", 1, 2, "y", 3) for k in range(20)] + [(20, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, start int, length_ int, decoded string, offset int")
+    bare = docs.select("doc_id", "text")
+    for made in (lambda d: bpe.encode_decode(d, PATH), lambda d: packing.pack(packing.token_pieces(d, PATH, 16), 16).select("doc_id", "start", "length", "ids")):
+        assert made(docs).columns == made(bare).columns
+        assert sorted(map(str, made(docs).collect())) == sorted(map(str, made(bare).collect()))

@@ -138,3 +138,15 @@ def test_urls(spark):
     assert got == want
     assert urls.judge(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in urls.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_one_key_with_a_third_of_the_rows(spark):
+    rows = [(7, "the same")] * 400 + [(None, None)] * 100 + [(k, f"text {k % 5}") for k in range(1000, 1700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sharding.shard_bounded(docs, F.col("doc_id"), 16).collect()
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _ in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len(slots) == 16 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1

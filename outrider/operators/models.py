@@ -88,9 +88,17 @@ def balanced_weights(df: DataFrame, label: str = "label", name: str = "_weight")
     return df.withColumn(name, F.when(F.col(label) == 1, F.lit(n / (2 * max(pos or 0, 1)))).otherwise(F.lit(n / (2 * max(n - (pos or 0), 1)))))
 
 
+def _released(fitted: PipelineModel) -> PipelineModel:
+    """``fitted`` without training summaries. They go to the tasks with the model and hold the session, which can't be sent once it has observed rows or has tags."""
+    for stage in fitted.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return fitted
+
+
 @dataclass
 class Model:
-    """A preparation and a fitted pipeline."""
+    """A preparation and a fitted pipeline, which keeps no training summary."""
 
     preparation: Preparation
     pipeline: PipelineModel
@@ -98,7 +106,7 @@ class Model:
     @classmethod
     def fit(cls, df: DataFrame, contract: Contract, estimator: Estimator, indicators: bool = False, centred: bool = True) -> Model:
         prep = Preparation.fit(df, contract, indicators, centred)
-        return cls(prep, Pipeline(stages=[*prep.stages(), estimator]).fit(prep.apply(df)))
+        return cls(prep, _released(Pipeline(stages=[*prep.stages(), estimator]).fit(prep.apply(df))))
 
     def score(self, df: DataFrame, name: str = "p_raw") -> DataFrame:
         """``df`` with the probability of the label."""

@@ -1,15 +1,19 @@
 """Properties that fitted models have, whatever fitted them."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from outrider.contract import Contract
 from outrider.operators import models
+from outrider.plans import catalog
 
+FOLDER = "/root/testdata/sf0.001"
 CONTRACT = Contract(["id"], ["x", "z", "kind"], ["x", "z"], ["kind"], "label")
 
 
@@ -97,6 +101,37 @@ def test_platt_keeps_the_rate(rows):
     assert abs(got.p - got.y) < 1e-4
 
 
+def used_session(spark, by):
+    """A session that can't be sent to tasks any more."""
+    other = spark.newSession()
+    if by == "tag":
+        other.addTag("used")
+    else:
+        seen = Observation()
+        other.range(3).observe(seen, F.count("*").alias("n")).collect()
+        assert seen.get["n"] == 3
+    return other
+
+
+@pytest.mark.parametrize("by", ["observation", "tag"])
+@pytest.mark.parametrize("kind", ["logistic", "forest"])
+def test_models_score_in_a_used_session(spark, kind, by):
+    """Tasks get the fitted model without the session, and the scores are those of an unused one."""
+    scores = []
+    for session in (used_session(spark, by), spark.newSession()):
+        df = session.range(400).selectExpr("id", "sin(id) AS x", "id % 7D AS z", "substring('abc', 1 + id % 3, 1) AS kind", "int(id % 5 < 2) AS label")
+        model = models.Model.fit(df, CONTRACT, models.logistic(400) if kind == "logistic" else models.forest(trees=3, leaf=5))
+        scores.append([r.p_raw for r in model.score(df).orderBy("id").collect()])
+    assert len(set(scores[0])) > 5 and np.allclose(scores[0], scores[1], rtol=0, atol=1e-9)
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name, rows", [("ML_08_logistic_scores", 1500)])
+def test_query_runs_in_a_used_session(spark, name, rows):
+    out = catalog.QUERIES[name](used_session(spark, "observation"), FOLDER).collect()
+    assert len(out) == len({r.encounter_id for r in out}) == rows and all(0 < r.p_raw < 1 for r in out)
+
+
 def _vector(values):
     from pyspark.ml.linalg import Vectors
 

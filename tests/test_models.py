@@ -132,6 +132,17 @@ def test_query_runs_in_a_used_session(spark, name, rows):
     assert len(out) == len({r.encounter_id for r in out}) == rows and all(0 < r.p_raw < 1 for r in out)
 
 
+def test_cross_fitting_in_a_used_session(spark):
+    """Models of folds, the curve over their scores and the last model all work, with the values of an unused session."""
+    got = []
+    for session in (used_session(spark, "observation"), spark.newSession()):
+        df = session.range(400).selectExpr("id", "sin(id) AS x", "id % 7D AS z", "substring('abc', 1 + id % 3, 1) AS kind", "int(id % 5 < 2) AS label", "int(id % 2) AS fold")
+        model, curve = models.cross_fitted(df, CONTRACT, lambda seen: models.logistic(200), 2)
+        out = model.score(df).select("id", "p_raw", curve.apply(F.col("p_raw")).alias("p_hat")).orderBy("id").collect()
+        got.append([(r.p_raw, r.p_hat) for r in out])
+    assert len(got[0]) == 400 and np.allclose(got[0], got[1], rtol=0, atol=1e-9)
+
+
 def _vector(values):
     from pyspark.ml.linalg import Vectors
 

@@ -11,6 +11,7 @@ from outrider.plans import appointments as no_show
 from outrider.plans import encounters as readmission
 from outrider.plans.fixtures import FXA_SQL, FXB_SQL, FXS_SQL, appointments, encounters, scored_events
 from outrider.plans.registry import ORACLE, QUERIES, query  # noqa: F401
+from outrider.session import shared_folder
 from outrider.sources.readers import inline, read_table, registered
 
 SMALL_GROUP = 600
@@ -833,10 +834,15 @@ def ML_01_to_ML_05_preparation(spark, d):
 def _readmission_model(spark: SparkSession, d: str):
     from outrider.contract import Contract
 
-    rows = readmission.features(readmission.silver(encounters(spark, d)))
+    def stored(df):
+        path = shared_folder(spark)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    # the split reads its rows many times and so do the fits; as tables, they aren't planned anew with all that is before them
+    rows = stored(readmission.features(readmission.silver(encounters(spark, d))))
     numbers, kinds = ["time_in_hospital", "num_lab_procedures", "num_medications"], ["race", "age", "admission_source_id"]
-    # the fits read the rows many times
-    return splits.three_way_split(rows, "person_id").persist(), Contract(["encounter_id", "person_id"], [*numbers, *kinds], numbers, kinds, "label")
+    return stored(splits.three_way_split(rows, "person_id")).persist(), Contract(["encounter_id", "person_id"], [*numbers, *kinds], numbers, kinds, "label")
 
 
 @query()

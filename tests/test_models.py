@@ -143,6 +143,13 @@ def test_cross_fitting_in_a_used_session(spark):
     assert len(got[0]) == 400 and np.allclose(got[0], got[1], rtol=0, atol=1e-9)
 
 
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
+def test_fits_do_not_plan_the_split_again(spark):
+    rows, _ = catalog._readmission_model(spark, FOLDER)
+    assert "Join" not in rows._jdf.queryExecution().analyzed().toString() and rows.count() == 1500
+    rows.unpersist()
+
+
 def _vector(values):
     from pyspark.ml.linalg import Vectors
 

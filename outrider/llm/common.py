@@ -44,16 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
+    ``few`` says that its rows are few beside those they come from: they are dealt anew, so that they fill few files.
+
     This cuts lineage: a lost executor costs no recomputation of what came before, and values
     such as row tags stay what they were. The files go when the session's JVM ends; the shuffle files
     of what came before go as soon as the driver collects its garbage, which this asks for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if few else df).write.parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

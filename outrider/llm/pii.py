@@ -145,7 +145,7 @@ def likely(held: DataFrame, entities: DataFrame, docs: DataFrame, text_col: str,
 
 def revealed(held: DataFrame, entities: DataFrame, docs: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
     """(row, start, end) of the terms that reveal an entity of their text."""
-    told = written(likely(held, entities, docs, text_col, support, threshold), "likely")
+    told = written(likely(held, entities, docs, text_col, support, threshold), "likely", few=True)
     found = occurrences(held).join(told.select("term").distinct(), "term").join(entities, "_row").join(told, ["entity", "term"])
     found = written(found, "told")
     several = found.groupBy("entity", "term").agg(F.countDistinct("around").alias("seen")).filter(F.col("seen") >= support)

@@ -2,10 +2,12 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from outrider.llm import pii
+from outrider.llm.common import shared_dir
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -108,6 +110,28 @@ def test_terms_far_from_the_entity_count(spark):
     assert got == {k: ["Zorblatt"] * 3 if k % 8 == 0 else [] for k in range(80)}
 
 
+def test_few_pairs_are_few_files(spark):
+    random.seed(7)
+    name = lambda k: "".join(chr(97 + int(d)) for d in f"{k:05}")
+    told = [f"Zorblatt{name(k)}" for k in range(40)]
+    texts = [" ".join(name(200 * k + j) for j in range(200)) + (f" {' '.join(random.sample(told, 40))} user{k}@example.com" if k % 8 == 0 else "") for k in range(160)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("likely-*"))
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    usual = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: len(r.spans) for r in pii.find_personal(frame).collect()}
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert got == {k: 41 if k % 8 == 0 else 0 for k in range(160)}
+    (new,) = set(folder.glob("likely-*")) - before
+    assert len(list(new.glob("part-*.parquet"))) == 1
+
+
 def test_redaction(spark, docs, empty):
     texts = ["mail a@b.co or 1.2.3.4@x.org now", "x", "", "+1 (743) 555-3824", "é\U0001f600 4785380592391139."] + ["a@b.co " * 1500]
     frame = spark.createDataFrame([(k, t, "z", "s", 0) for k, t in enumerate(texts)], "doc_id bigint, text string, spans string, _text string, n_chars bigint")
